@@ -58,8 +58,19 @@ def _pattern():
 
 
 def starts(text: str) -> list[int]:
-    """Starts of the pre-tokens of a text."""
-    return [m.start() for m in _pattern().finditer(text)]
+    """Starts of the pre-tokens of a text where it may be cut: those that follow no white space.
+
+    The pattern looks ahead only past white space, so a piece that ends in
+    another character is cut into the same pre-tokens by itself.
+    """
+    return [m.start() for m in _pattern().finditer(text) if m.start() and not _space().match(text, m.start() - 1)]
+
+
+@functools.lru_cache(maxsize=1)
+def _space():
+    import regex
+
+    return regex.compile(r"\s")
 
 
 @functools.lru_cache(maxsize=1)
