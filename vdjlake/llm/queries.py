@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vdjlake.functions import clean
-from vdjlake.llm import components, overlaps, packing, percentiles, tokens
+from vdjlake.llm import components, overlaps, packing, percentiles, subjects, tokens
 from vdjlake.session import read
 
 # ---- p3: pairwise matches to groups
@@ -45,9 +45,7 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mouse_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "cohort_clones").select(clean.name_key("cohort_name").alias("cohort"), F.explode("samples").alias("sample"), clean.upper_text("cdr3_aa").alias("cdr3"))
-    return c.select(F.concat_ws("/", "cohort", F.when(clean.name_key("sample").isNotNull() & F.col("cohort").isNotNull(), clean.name_key("sample"))).alias("s"), "cdr3", "cohort", "sample").where(
-        clean.name_key("sample").isNotNull() & F.col("cohort").isNotNull()
-    ).select("s", "cdr3")
+    return c.select(F.concat("cohort", F.lit("/"), clean.name_key("sample")).alias("s"), "cdr3")  # null where either part is
 
 
 def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +103,25 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p9_containers(spark, sf_dir))
 
 
+# ---- p10: subject areas
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r["subject"] for r in read(spark, sf_dir, "subject_areas").where("subject is not null").groupBy("subject").agg(F.min("subject_id").alias("i")).orderBy("i").collect()]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document: those of at least a quarter of its sentences."""
+    return subjects.subjects_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "subject_labels"), _subjects(spark, sf_dir), 0.25)
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject, and their part of all documents that have any."""
+    found = p10_found(spark, sf_dir)
+    n = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return n.select("subject", "documents", (F.col("documents") / F.sum("documents").over(Window.partitionBy())).alias("share"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
@@ -115,6 +132,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _MISS = "lower(trim(x)) IN ('', 'nan', 'none', 'nd')"
