@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vdjlake.functions import clean
-from vdjlake.llm import components, near_duplicates, overlaps, packing, percentiles, subjects, tokens
+from vdjlake.llm import components, entity_match, near_duplicates, overlaps, packing, percentiles, subjects, tokens
 from vdjlake.session import read
 
 # ---- p1: near-duplicate junctions
@@ -53,6 +53,24 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clones(spark, sf_dir).select("clone_key").join(groups, F.col("clone_key") == F.col("node"), "left").select("clone_key", F.coalesce("component", "clone_key").alias("cluster_id"))
 
 
+# ---- p4: sequences and antibodies
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sequence and antibody that describe one heavy chain, with rule and confidence."""
+    long = lambda c: F.when(F.length(clean.upper_text(c)) > 10, clean.upper_text(c))
+    fields = lambda short, text: [clean.cdr3_core(short).alias("short"), long(text).alias("long"), clean.gene("v_gene").alias("n1"), clean.gene("j_gene").alias("n2")]
+    s = read(spark, sf_dir, "sequences").select(F.col("id").alias("l"), *fields("cdr3_peptide", "aa_sequence"))
+    a = read(spark, sf_dir, "antibodies").select(F.col("antibody_name").alias("r"), *fields("cdr3_sequence", "vh_sequence"))
+    m = entity_match.matches(s, a)
+    return m.select(F.col("l").alias("id"), F.col("r").alias("antibody_name"), "rule", "confidence")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of :func:`p4_matches`."""
+    return p4_matches(spark, sf_dir).select("id", "antibody_name")
+
+
 # ---- p5: overlaps of the mice's CDR3 sets
 
 
@@ -139,6 +157,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p5_overlaps": p5_overlaps,
     "p7_found": p7_found,
