@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vdjlake.plans import data_quality
+from vdjlake.plans import data_quality, repertoire, scalars
 
-MODULES = [data_quality]
+MODULES = [data_quality, scalars, repertoire]
 
 
 def queries() -> dict:
