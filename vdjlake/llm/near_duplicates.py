@@ -15,16 +15,15 @@ next to nothing, before the exact check.
 
 The exact check is the edit distance in which a replaced, inserted or lost
 letter is one edit, and so are two neighbouring stretches of at most ``STRETCH``
-letters that change places. It runs in two steps: the plain edit distance inside
-the JVM, and the distance with moves only for pairs which are not grouped yet
-and whose plain distance one move can mend (a move saves at most
-2 * ``STRETCH`` - 1 plain edits).
+letters that change places. It runs in steps: the plain edit distance inside the
+JVM, and the distance with moves for the pairs beyond it which share as many
+grams as pairs must that are edited so often, two of the edits being moves.
 
 Groups are found in two passes: the first compares direct neighbours of a few
 orders and merges what it finds; the second emits only candidates that lie in
 different groups, so a large family of near copies costs rows, not pairs.
 
-Work per text is fixed: ``TREES`` rows of 49 bytes go through one exchange keyed
+Work per text is fixed: a row of 49 bytes per tree goes through one exchange keyed
 by tree, block and first signature element, so one block with a third of all
 texts is spread over many tasks.
 
@@ -46,8 +45,9 @@ from pyspark.sql import functions as F
 from vdjlake.llm.components import components
 from vdjlake.session import discard, shuffle_partitions, table
 
-#: Orders of each kind: sampled letters, windows.
-TREES = (10, 10)
+#: Orders of each kind: sampled letters, windows; for texts of proteins, whose letters tell more, only the first ones.
+TREES = (8, 8)
+PROTEIN_TREES = (4, 4)
 #: Elements of a signature, a byte each.
 DEPTH = 6
 #: Texts of a region that are all compared.
@@ -180,6 +180,8 @@ def _plant(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...]) -> Iterato
                     lo += len(p)
                     keys, sketch = signatures([texts[i] for i in p], kind, family)
                     for t in trees:
+                        if kind and (t if t < TREES[0] else t - TREES[0]) >= PROTEIN_TREES[t >= TREES[0]]:
+                            continue
                         k = keys[:, t]
                         yield pa.RecordBatch.from_arrays(
                             [
@@ -210,7 +212,8 @@ def _similar(hi_a, lo_a, hi_b, lo_b) -> np.ndarray:
     y = (y | (y >> np.uint64(1))) & np.uint64(0x5555555555555555)
     left = 16 - np.bitwise_count(y >> np.uint64(32)).astype(np.int16)
     right = 16 - np.bitwise_count(y & np.uint64(0xFFFFFFFF)).astype(np.int16)
-    return (windows >= 5) | (left >= 11) | (right >= 11) | (left + right >= 19)
+    both = left + right
+    return (windows >= 8) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -341,6 +344,14 @@ def moves_distance(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: i
     result = np.full(n, big)
     rows = np.arange(n)
     for i in range(top_a + 1):
+        if i > 2 * stretch and i % 6 == 0:
+            # all that a later row can come from is beyond the limit
+            alive = np.min([x.min(axis=1) for x in dist], axis=0) <= limit
+            if alive.sum() <= 0.7 * len(rows):
+                if not alive.any():
+                    break
+                rows, la, lb, limit, xa, pad = rows[alive], la[alive], lb[alive], limit[alive], xa[alive], pad[alive]
+                dist, runs = [x[alive] for x in dist], [x[alive] for x in runs]
         if i:
             eq = xa[:, i - 1 : i] == pad[:, i - 1 : i - 1 + v]  # b[j-1] for j = i + o, o from -wide
             run = np.where(eq, np.minimum(runs[-1], 250) + 1, 0).astype(np.uint8)
@@ -366,39 +377,75 @@ def moves_distance(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: i
         if len(done):
             o = lb[done] - i + band
             ok = (o >= 0) & (o < w)
-            result[done[ok]] = dist[-1][done[ok], o[ok]]
-    return result[rows]
+            result[rows[done[ok]]] = dist[-1][done[ok], o[ok]]
+    return result
+
+
+#: Intact grams of ``SHARED_GRAM`` letters that two texts within t edits have left after two moves.
+SHARED_GRAM = 4
+
+
+def may_mend(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: int = STRETCH, moves: int = 2) -> np.ndarray:
+    """Whether the pairs share as many grams as pairs within ``limit`` edits, of which at most ``moves`` are moves, must.
+
+    k edits and m moves cut a text into at most 1 + k + 3m intact pieces with all but
+    k of its letters, so at least (length - k) - (gram - 1) * (pieces) grams stay,
+    each within ``stretch`` * m + k places of its own.
+    """
+    n, q = len(a), SHARED_GRAM
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    top = int(max(la.max(), lb.max()))
+    code = lambda xs, fill: _grams(np.frombuffer(b"".join(x.ljust(top, fill) for x in xs), dtype=np.uint8).reshape(n, top), q)
+    ga, gb = code(a, b"\0").astype(np.uint32), code(b, b"\1").astype(np.uint32)
+    reach = moves * stretch + int(limit.max())
+    wide = np.zeros((n, ga.shape[1] + 2 * reach), dtype=np.uint32)
+    wide[:, reach : reach + gb.shape[1]] = gb
+    hit = np.zeros(ga.shape, dtype=bool)
+    for o in range(2 * reach + 1):
+        hit |= ga == wide[:, o : o + ga.shape[1]]
+    hit &= np.arange(ga.shape[1])[None, :] <= (la - q)[:, None]
+    k = limit - moves
+    least = np.maximum(la, lb) - limit - (q - 1) * (1 + k + 3 * moves)
+    return hit.sum(axis=1) >= least
 
 
 _CHECK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _mended(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) within the allowed edits when moves count as one."""
+def _judge(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
+    """The linked pairs of (a, b, text_a, text_b, d): plain distance found, or within the allowed edits with moves."""
     for batch in batches:
         ids_a, ids_b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ta, tb = ([t.encode("ascii", "replace") for t in batch.column(c).to_pylist()] for c in (2, 3))
-        size = np.array([max(len(x), len(y)) for x, y in zip(ta, tb)])
-        order = np.argsort(size, kind="stable")
-        lo, good = 0, []
-        while lo < len(order):
-            step = max(1, min(1500, 150_000 // int(size[order[lo]])))
-            p = order[lo : lo + step]
-            lo += len(p)
-            limit = np.array([allowed(s) for s in size[p]])
-            d = moves_distance([ta[i] for i in p], [tb[i] for i in p], limit, stretch)
-            good.append(p[d <= limit])
-        g = np.concatenate(good) if good else np.zeros(0, dtype=np.int64)
+        plain = batch.column(4).to_numpy() >= 0
+        good = [np.flatnonzero(plain)]
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            ta, tb = ([t.encode("ascii", "replace") for t in batch.column(c).take(pa.array(rest)).to_pylist()] for c in (2, 3))
+            size = np.array([max(len(x), len(y)) for x, y in zip(ta, tb)])
+            enough = np.array([min(len(x), len(y)) for x, y in zip(ta, tb)]) >= np.ceil(size * (1 - EDITS) - 1e-9)
+            order = np.argsort(size, kind="stable")
+            order = order[enough[order]]
+            lo = 0
+            while lo < len(order):
+                p = order[lo : lo + max(1, min(1500, 150_000 // int(size[order[lo]])))]
+                lo += len(p)
+                limit = np.array([allowed(s) for s in size[p]])
+                if size[p[0]] >= 2 * SHARED_GRAM:
+                    p = p[may_mend([ta[i] for i in p], [tb[i] for i in p], limit, stretch)]
+                    limit = np.array([allowed(s) for s in size[p]], dtype=np.int64)
+                if len(p):
+                    d = moves_distance([ta[i] for i in p], [tb[i] for i in p], limit, stretch)
+                    good.append(rest[p[d <= limit]])
+        g = np.concatenate(good)
         yield pa.RecordBatch.from_arrays([pa.array(ids_a[g]), pa.array(ids_b[g])], schema=_CHECK)
 
 
 def _checked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, text_a, text_b, d, most``: plain distance, -1 where it is beyond what one move can mend."""
+    """``a, b, text_a, text_b, d``: the plain distance where it is allowed, else -1."""
     a = reps.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    j = pairs.join(a, "a").join(b, "b")
-    most = F.floor(F.greatest(F.length("text_a"), F.length("text_b")) * F.lit(EDITS) + F.lit(1e-9)).cast("int")
-    return j.withColumn("most", most).withColumn("d", F.expr(f"levenshtein(text_a, text_b, most + {2 * STRETCH - 1})"))
+    most = f"cast(floor(greatest(length(text_a), length(text_b)) * {EDITS} + 1e-9) as int)"
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b", F.expr(f"levenshtein(text_a, text_b, {most})").alias("d"))
 
 
 def near_groups(texts: DataFrame) -> DataFrame:
@@ -410,18 +457,16 @@ def near_groups(texts: DataFrame) -> DataFrame:
     """
     letters, windows = TREES
     reps = texts.withColumn("grp", F.col("rep"))
-    few = tuple(range(min(4, letters))) + tuple(range(letters, letters + min(3, windows)))
-    first = table(_checked(_candidates(reps, few, functools.partial(_neighbours, reach=2)), reps).where("d >= 0"), "near1")
-    groups = table(components(first.where("d <= most"), "a", "b"), "groups1")
+    few = tuple(range(min(3, letters))) + tuple(range(letters, letters + min(2, windows)))
+    # protein texts are compared only where the first kind is missing: the second pass will do
+    first = _checked(_candidates(reps.where(~F.col("protein")), few, functools.partial(_neighbours, reach=2)), reps).where("d >= 0")
+    groups = table(components(first, "a", "b"), "groups1")
     grouped = table(texts.join(groups, F.col("rep") == F.col("node"), "left").select(*texts.columns, F.coalesce("component", "rep").alias("grp")), "reps1")
-    second = table(_checked(_candidates(grouped, tuple(range(letters + windows)), functools.partial(_regions, leaf=LEAF)), grouped).where("d >= 0"), "near2")
+    pairs = _candidates(grouped, tuple(range(letters + windows)), functools.partial(_regions, leaf=LEAF))
+    links = _checked(pairs, grouped).mapInArrow(functools.partial(_judge, stretch=STRETCH), "a long, b long")
     of = grouped.select("rep", "grp")
     ga, gb = of.select(F.col("rep").alias("a"), F.col("grp").alias("ga")), of.select(F.col("rep").alias("b"), F.col("grp").alias("gb"))
-    maybe = first.where("d > most").unionByName(second.where("d > most")).dropDuplicates(["a", "b"]).join(ga, "a").join(gb, "b").where("ga <> gb")
-    n = shuffle_partitions(texts.sparkSession)
-    mended = maybe.select("a", "b", "text_a", "text_b").repartition(n).mapInArrow(functools.partial(_mended, stretch=STRETCH), "a long, b long")
-    links = second.where("d <= most").select("a", "b").unionByName(mended).join(ga, "a").join(gb, "b").select("ga", "gb").distinct()
-    final = components(links, "ga", "gb")
+    final = components(links.join(ga, "a").join(gb, "b").select("ga", "gb"), "ga", "gb")
     out = of.join(final, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
     discard(groups)
     return out
