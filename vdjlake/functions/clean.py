@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 MISSING_WORDS = ("nan", "none", "nd", "null", "na")
 
 
+#: Blanks that surround values: trimmed by characters, without a regular expression per row.
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trimmed(c: Column | str) -> Column:
     """Without blanks of any kind at either end; stays null for null."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(BLANKS))
 
 
 def present(c: Column | str, words: tuple[str, ...] = ("", "nan", "none", "nd")) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vdjlake.plans import data_quality, repertoire, scalars
+from vdjlake.plans import clones, data_quality, repertoire, scalars, statistics
 
-MODULES = [data_quality, scalars, repertoire]
+MODULES = [data_quality, scalars, repertoire, clones, statistics]
 
 
 def queries() -> dict:

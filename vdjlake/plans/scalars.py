@@ -71,7 +71,7 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number out of each event's JSON, and the JSON of two of its fields."""
     e = read(spark, sf_dir, "events")
-    return e.select("event_id", X.from_json("props", "k long")["k"].alias("k"), X.to_json("event_id", "event_type").alias("json"), X.fixed("value", 1).alias("value_text"))
+    return e.select("event_id", X.from_json("props", "k long")["k"].alias("k"), X.to_json("event_id", "event_type").alias("json"), X.fixed("value", 2).alias("value_text"))
 
 
 QUERIES = {f.__name__: f for f in (gene_names, dna_translation, junction_frames, id_suffixes, pair_similarity, event_json)}
@@ -88,7 +88,7 @@ FROM (SELECT id, v_gene, j_gene, c_call, {gene_sql('v_gene')} AS v, trim(split_p
     "dna_translation": f"""
 SELECT id, replace(replace(upper(cdr3_dna), '-', ''), 'N', '') AS content,
   regexp_replace(regexp_replace(p, '^C', ''), '[WF]$', '') AS imgt, regexp_matches(upper(cdr3_dna), '[^ACGNT]') AS protein,
-  coalesce(list_min(list_filter(range(1, n + 1), i -> upper(substr(d, (i - 1) * 3 + 1, 3)) IN ('TAA', 'TAG', 'TGA'))) - 1, n) AS aa_length
+  coalesce(list_min(list_filter(range(1, n + 1), lambda i: upper(substr(d, (i - 1) * 3 + 1, 3)) IN ('TAA', 'TAG', 'TGA'))) - 1, n) AS aa_length
 FROM (SELECT *, length(d) // 3 AS n FROM (
   SELECT DISTINCT id, cdr3_dna, CASE WHEN lower(trim(cdr3_peptide)) NOT IN {MISSING} THEN upper(trim(cdr3_peptide)) END AS p, upper(regexp_replace(cdr3_dna, '[-.\\s]', '', 'g')) AS d
   FROM sequences WHERE id IS NOT NULL AND cdr3_dna IS NOT NULL) y) x""",
@@ -113,5 +113,5 @@ SELECT match_id, h AS hamming, coalesce(1 - h / CAST(la AS DOUBLE), 0.0) AS hamm
   greatest(0.0, 1 - (lev / CAST(l AS DOUBLE) + CASE WHEN abs(la - lb) > 2 THEN abs(la - lb) / CAST(l AS DOUBLE) ELSE 0.0 END * 0.5)) AS aa_similarity, m AS aligned_matches
 FROM d""",
     "event_json": """
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json, printf('%.1f', value) AS value_text FROM events""",
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json, printf('%.2f', value) AS value_text FROM events""",
 }
