@@ -40,9 +40,8 @@ def salted_distinct(df: DataFrame, keys: list[str], item: str, tasks: int | None
     rows = rows.where(" and ".join(f"{n} is not null" for n in [*ks, "__item"]))
 
     counts = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    share = F.col("__total") / F.lit(tasks * HEAVY_PER_TASK)
-    heavy = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.greatest(share, F.lit(1))).select(
+    share = counts.agg(F.sum("__n")).scalar() / F.lit(tasks * HEAVY_PER_TASK)
+    heavy = counts.where(F.col("__n") > F.greatest(share, F.lit(1))).select(
         *[F.col(n).alias(f"{n}_h") for n in ks], F.ceil(F.col("__n") / share).cast("int").alias("__salts")
     )
     salted = rows.join(F.broadcast(heavy), [F.col(n) == F.col(f"{n}_h") for n in ks], "left").select(
@@ -86,9 +85,8 @@ def dominant_keys(df: DataFrame, keys: list[str], item: str, share: float = 0.01
     """
     per = salted_distinct(df, keys, item, tasks)
     if all_items is None:
-        total = per.agg(F.sum("items").alias("__all"))
+        total = per.agg(F.sum("items"))
     else:
-        total = all_items.select(F.col(all_items.columns[0]).alias("__i")).where("__i is not null").distinct().agg(F.count(F.lit(1)).alias("__all"))
-    return per.crossJoin(F.broadcast(total)).where(F.col("items") >= F.col("__all") * F.lit(share)).select(
-        *keys, "items", (F.col("items") / F.col("__all")).alias("share")
-    )
+        total = all_items.select(F.col(all_items.columns[0]).alias("__i")).where("__i is not null").distinct().agg(F.count(F.lit(1)))
+    out = per.withColumn("share", F.col("items") / total.scalar())
+    return out.where(F.col("share") >= F.lit(share)).select(*keys, "items", "share")

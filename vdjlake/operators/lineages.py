@@ -274,7 +274,7 @@ def embedding_clusters(df: DataFrame, key: str, vector: str, cut: float = 0.0001
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
     unit = rows.withColumn("__n", norm).where("__n > 0").select(*block, key, F.transform(vector, lambda x: x.cast("double") / F.col("__n")).alias("u"))
     step = float(np.sqrt(2 * cut)) * 1.0001
-    cell = lambda i: F.floor(F.col("u")[i] / F.lit(step))
+    cell = lambda i: F.floor(F.coalesce(F.get("u", F.lit(i)), F.lit(0.0)) / F.lit(step))
     cells = unit.select(*block, F.col(key).alias("k"), "u", *[cell(i).alias(f"c{i}") for i in range(3)])
     near = cells.select(*block, "k", "u", *[F.explode(F.sequence(F.col("c0") - 1, F.col("c0") + 1)).alias("c0")], "c1", "c2")
     for i in (1, 2):

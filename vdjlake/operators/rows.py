@@ -117,7 +117,7 @@ def staging_summary(contigs: DataFrame, tags: DataFrame, staged: DataFrame) -> D
     scanned = contigs.agg(F.count(F.lit(1)).alias("scanned"))
     dropped = contigs.join(bad, "cell_id", "left_semi").agg(F.count(F.lit(1)).alias("dropped_tag"))
     kept = staged.agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("cell_id").alias("cells"))
-    return scanned.crossJoin(kept).crossJoin(dropped)
+    return scanned.select("scanned", kept.select("kept").scalar().alias("kept"), kept.select("cells").scalar().alias("cells"), dropped.scalar().alias("dropped_tag"))
 
 
 def attach_file(df: DataFrame, files: DataFrame, seq_id: str = "sequence_id", unknown: str = "unknown.fasta") -> DataFrame:

@@ -43,7 +43,8 @@ def exact_public(df: DataFrame, patient: str = "patient", cdr3: str = "cdr3", v:
 def public_stats(public: DataFrame) -> DataFrame:
     """One row: number of public clones, greatest number of patients, patients involved."""
     everyone = public.select(F.explode("patient_set").alias("p"))
-    return public.agg(F.count(F.lit(1)).alias("clones"), F.coalesce(F.max("patients"), F.lit(0)).alias("most_shared")).crossJoin(everyone.agg(F.countDistinct("p").alias("patients")))
+    a = public.agg(F.count(F.lit(1)).alias("clones"), F.coalesce(F.max("patients"), F.lit(0)).alias("most_shared"))
+    return a.withColumn("patients", everyone.agg(F.countDistinct("p")).scalar())
 
 
 def public_ids(df: DataFrame, keys: list[str], timepoint: str = "timepoint", file: str = "sample_file", patient: str = "patient", least: int = 2) -> DataFrame:
@@ -69,7 +70,11 @@ def heatmap(df: DataFrame, keys: list[str], patient: str = "patient", clones: Da
     n = patient_counts(df, keys, patient)
     totals = n.groupBy(*scope, "patient").agg(F.sum("n").alias("total"))
     rows = clones.select(*keys).distinct() if clones is not None else n.select(*keys).distinct()
-    grid = rows.join(F.broadcast(totals), scope) if scope else rows.crossJoin(F.broadcast(totals))
+    if scope:
+        grid = rows.join(F.broadcast(totals), scope)
+    else:  # the list of patients is as long as the grid is wide
+        listed = totals.agg(F.array_sort(F.collect_list(F.struct("patient", "total")))).scalar()
+        grid = rows.withColumn("__p", F.explode(listed)).select(*keys, "__p.patient", "__p.total")
     full = grid.join(n, [*keys, "patient"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.select(*keys, "patient", (F.col("n") > 0).cast("int").alias("present"), "n", (F.col("n") / F.col("total") * 100).alias("percent"))
 

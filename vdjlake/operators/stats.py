@@ -130,11 +130,10 @@ def long_metrics(metrics: DataFrame, keys: list[str], names: list[str]) -> DataF
 def compare_groups(long: DataFrame, cohort: str, strata: list[str]) -> DataFrame:
     """Rank-sum test of every pair of cohorts per stratum: ``strata..., cohort_1, cohort_2, ...``.
 
-    The pairs are of cohorts, of which a study has a few; sample rows are joined
-    to them, never to each other.
+    Each sample row takes part once per other cohort, of which a study has a few;
+    rows are never joined to each other.
     """
-    names = long.select(F.col(cohort).alias("c")).distinct()
-    pairs = names.select(F.col("c").alias("cohort_1")).join(names.select(F.col("c").alias("cohort_2")), F.col("cohort_1") < F.col("cohort_2"))
-    sides = pairs.select("cohort_1", "cohort_2", F.explode(F.array(F.struct(F.col("cohort_1").alias("c"), F.lit(1).alias("side")), F.struct(F.col("cohort_2").alias("c"), F.lit(2).alias("side")))).alias("x"))
-    rows = long.join(F.broadcast(sides.select("cohort_1", "cohort_2", "x.c", "x.side")), F.col(cohort) == F.col("c"))
+    names = long.agg(F.array_sort(F.collect_set(cohort))).scalar()
+    other = long.where(F.col(cohort).isNotNull()).select(*strata, cohort, "value", F.explode(F.array_remove(names, F.col(cohort))).alias("__o"))
+    rows = other.select(*strata, "value", F.least(cohort, "__o").alias("cohort_1"), F.greatest(cohort, "__o").alias("cohort_2"), F.when(F.col(cohort) < F.col("__o"), 1).otherwise(2).alias("side"))
     return rank_sum(rows, [*strata, "cohort_1", "cohort_2"], "side", "value")

@@ -54,12 +54,12 @@ def combine(records: DataFrame, files: DataFrame) -> DataFrame:
 def imgt_allele(header: str = "header"):
     """Field between the first two pipes of an IMGT header; before the only pipe; or the whole header."""
     parts = F.split(header, r"\|")
-    return F.when(F.size(parts) >= 3, parts[1]).when(F.size(parts) == 2, parts[0]).otherwise(F.col(header))
+    return F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).when(F.size(parts) == 2, F.get(parts, F.lit(0))).otherwise(F.col(header))
 
 
 def clean_imgt(records: DataFrame) -> DataFrame:
     """``allele, species, sequence``: gap dots removed, first record per allele and file order kept by :func:`first_per_allele`."""
-    return records.select(imgt_allele().alias("allele"), F.split("header", r"\|")[2].alias("species"), F.replace("sequence", F.lit("."), F.lit("")).alias("sequence"), F.col("header"))
+    return records.select(imgt_allele().alias("allele"), F.get(F.split("header", r"\|"), F.lit(2)).alias("species"), F.replace("sequence", F.lit("."), F.lit("")).alias("sequence"), F.col("header"))
 
 
 def first_per_allele(records: DataFrame, order: str = "header") -> DataFrame:
@@ -79,7 +79,7 @@ def mouse_germline(records: DataFrame) -> DataFrame:
 def legacy_imgt(records: DataFrame) -> DataFrame:
     """``name, sequence``: allele field of TR and IG headers; other mouse species get a suffix; dots removed."""
     allele = imgt_allele()
-    species = F.split("header", r"\|")[2]
+    species = F.get(F.split("header", r"\|"), F.lit(2))
     suffix = F.when(species.rlike("(?i)mus spretus"), "_spretus").otherwise("")
     return records.where(allele.rlike("^(TR|IG)")).select(F.concat(allele, suffix).alias("name"), F.replace("sequence", F.lit("."), F.lit("")).alias("sequence"))
 
