@@ -202,8 +202,8 @@ def _plant(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...]) -> Iterato
 # ---- candidates
 
 
-def _similar(hi_a, lo_a, hi_b, lo_b) -> np.ndarray:
-    """The sketches share more than unrelated texts do."""
+def _similar(hi_a, lo_a, hi_b, lo_b, long) -> np.ndarray:
+    """The sketches share more than unrelated texts do; long grams hardly ever agree by chance."""
     x = hi_a ^ hi_b
     x |= x >> np.uint64(1)
     x |= x >> np.uint64(2)
@@ -213,7 +213,7 @@ def _similar(hi_a, lo_a, hi_b, lo_b) -> np.ndarray:
     left = 16 - np.bitwise_count(y >> np.uint64(32)).astype(np.int16)
     right = 16 - np.bitwise_count(y & np.uint64(0xFFFFFFFF)).astype(np.int16)
     both = left + right
-    return (windows >= 8) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
+    return (windows >= np.where(long, 4, 8)) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -221,10 +221,10 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _pairs(cols: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Of the row pairs (i, j), those worth the exact check, smaller rep first."""
-    _, _, _, _, hi, lo, rep, grp, open_ = cols
+    tree, _, _, _, hi, lo, rep, grp, open_ = cols
     keep = (grp[i] != grp[j]) & (open_[i] | open_[j])
     i, j = i[keep], j[keep]
-    keep = _similar(hi[i], lo[i], hi[j], lo[j])
+    keep = _similar(hi[i], lo[i], hi[j], lo[j], tree[i] // 100 % 10 == 1)
     i, j = rep[i[keep]], rep[j[keep]]
     return np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)
 
@@ -276,7 +276,7 @@ def _regions(cols: list[np.ndarray], leaf: int) -> Iterator[np.ndarray]:
             yield _pairs(cols, at[i], at[i + o])
 
 
-def _harvest(batches: Iterator[pa.RecordBatch], find, chunk: int = 150_000) -> Iterator[pa.RecordBatch]:
+def _harvest(batches: Iterator[pa.RecordBatch], find, chunk: int = 80_000) -> Iterator[pa.RecordBatch]:
     """Walks the sorted rows in chunks that end where a tree, block and first element end."""
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -427,7 +427,7 @@ def _judge(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.Recor
             order = order[enough[order]]
             lo = 0
             while lo < len(order):
-                p = order[lo : lo + max(1, min(1500, 150_000 // int(size[order[lo]])))]
+                p = order[lo : lo + max(1, min(1000, 100_000 // int(size[order[lo]])))]
                 lo += len(p)
                 limit = np.array([allowed(s) for s in size[p]])
                 if size[p[0]] >= 2 * SHARED_GRAM:
