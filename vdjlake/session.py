@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,9 @@ def session(app: str = "vdjlake", master: str | None = None, **conf: str) -> Spa
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +80,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per session.
+
+    Workers then need neither the working directory nor the search path of the
+    driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vdjlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="vdjlake-"), "vdjlake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    sc._vdjlake_shipped = True
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at once, from the cluster's default parallelism."""
     return max(2, spark.sparkContext.defaultParallelism)
