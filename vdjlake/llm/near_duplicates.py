@@ -213,7 +213,7 @@ def _similar(hi_a, lo_a, hi_b, lo_b, long) -> np.ndarray:
     left = 16 - np.bitwise_count(y >> np.uint64(32)).astype(np.int16)
     right = 16 - np.bitwise_count(y & np.uint64(0xFFFFFFFF)).astype(np.int16)
     both = left + right
-    return (windows >= np.where(long, 4, 8)) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
+    return (windows >= np.where(long, 4, 6)) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
