@@ -309,3 +309,15 @@ def test_embedding_clusters(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)] + [(99, None)], "id long, e array<double>")
     got = {r["id"]: r["cluster"] for r in lineages.embedding_clusters(df, "id", "e", 0.001).collect()}
     assert got == {i: i % 6 for i in range(24)}
+
+
+def test_density_curve(spark):
+    rng = np.random.default_rng(6)
+    x = [float(v) for v in np.clip(rng.normal(0.3, 0.05, 400), 0.01, 1)] + [0.0, 2.0]
+    df = spark.createDataFrame([("t", v) for v in x] + [("t", None), ("u", 0.5)], "label string, d double")
+    c = lineages.density_curve(df, "d", "label").toPandas()
+    t = c[c["label"] == "t"]
+    assert len(t) == 512 and abs(t["density"].sum() / 511 - 1) < 0.02 and abs(t.loc[t["density"].idxmax(), "x"] - 0.3) < 0.05
+    assert {r["label"]: r["threshold"] for r in lineages.thresholds(df, "d", "label", fixed={"u": 0.2}).collect()}["u"] == 0.2
+    with pytest.raises(ValueError):
+        lineages.thresholds(df, "d", "label", fixed={"u": 2})

@@ -209,6 +209,33 @@ def distance_histogram(df: DataFrame, distance: str, by: list[str] | None = None
     return n.select(*by, "bin", (F.col("bin") / F.lit(bins)).alias("low"), "n", (F.col("n") / F.sum("n").over(w) * bins).alias("density"))
 
 
+def kernel_density(x: np.ndarray, w: np.ndarray, points: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(grid over 0..1, Gaussian kernel density) of weighted values, bandwidth by the rule of thumb."""
+    order = np.argsort(x)
+    x, w = x[order], w[order]
+    total = w.sum()
+    mean = (x * w).sum() / total
+    sd = np.sqrt((w * (x - mean) ** 2).sum() / total)
+    q1, q3 = (x[np.searchsorted(np.cumsum(w), total * q)] for q in (0.25, 0.75))
+    spread = min(sd, (q3 - q1) / 1.34) or sd or 1e-3
+    h = 0.9 * spread * total ** (-0.2)
+    grid = np.linspace(0, 1, points)
+    k = (w[None, :] * np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2)).sum(axis=1)
+    return grid, k / (total * h * np.sqrt(2 * np.pi))
+
+
+def density_curve(df: DataFrame, distance: str, by: str, points: int = 512, bins: int = 2000) -> DataFrame:
+    """``label, x, density``: kernel density of the valid distances of each label on ``points`` places, from a histogram of at most ``bins`` rows."""
+    h = df.where((F.col(distance) > 0) & (F.col(distance) <= 1)).groupBy(F.col(by).alias("label"), F.round(F.col(distance) * bins).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    kind = dict(h.dtypes)["label"]
+
+    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, dens = kernel_density((pdf["b"] / bins).to_numpy(), pdf["n"].to_numpy(float), points)
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "x": grid, "density": dens})
+
+    return h.groupBy("label").applyInPandas(curve, f"label {kind}, x double, density double")
+
+
 def density_threshold(distances: np.ndarray, weights: np.ndarray | None = None, default: float = 0.1, points: int = 512) -> float:
     """Valley between the first two modes of a Gaussian kernel density on 0..1; the median, then ``default``, where there is none.
 
@@ -228,11 +255,7 @@ def density_threshold(distances: np.ndarray, weights: np.ndarray | None = None,
     var = (w * (x - mean) ** 2).sum() / total
     if len(np.unique(x)) < 5 or total < 20 or var < 1e-6:
         return min(1.0, max(median, 1e-9))
-    q1, q3 = (x[np.searchsorted(np.cumsum(w), total * q)] for q in (0.25, 0.75))
-    spread = min(np.sqrt(var), (q3 - q1) / 1.34) or np.sqrt(var)
-    h = 0.9 * spread * total ** (-0.2)
-    grid = np.linspace(0, 1, points)
-    dens = (w[None, :] * np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2)).sum(axis=1)
+    grid, dens = kernel_density(x, w, points)
     up = np.diff(dens) > 0
     peaks = np.flatnonzero(up[:-1] & ~up[1:]) + 1
     if len(peaks) < 2:

@@ -111,6 +111,20 @@ def distance_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return C.thresholds(R.valid_distance(_junctions(spark, d)), "dist_nearest", "timepoint")
 
 
+def distance_density(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel density of the distances of each timepoint on 512 places."""
+    return C.density_curve(R.valid_distance(_junctions(spark, d)), "dist_nearest", "timepoint")
+
+
+def cluster_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters across cohorts with their rows per cohort."""
+    from vdjlake.sinks import tables as K
+
+    m = C.cohort_clusters(_cohort_clones(spark, d), "clone_key")
+    r = C.cluster_rollup(m).withColumn("cohorts", F.array_join("cohorts", "|"))
+    return K.cluster_sheets(r, m)["Lineages"]
+
+
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy leader clusters of CDR3s within two edits, by V and J gene."""
     return P.leader_clusters(seqs(spark, d), ["v", "j"])
@@ -188,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clone_profiles, lineage_edges, lineage_ids, lineage_summary, global_clone_ids, cohort_rollup, cohort_edges, cohort_clusters, cluster_rollup, cluster_cohort_top, exact_cluster_sets,
-        single_link_clones, linkage_clones, nearest_distance, distance_histogram, distance_thresholds, leader_clusters, cluster_sharing, embedding_clusters,
+        single_link_clones, linkage_clones, nearest_distance, distance_histogram, distance_thresholds, distance_density, cluster_sheet, leader_clusters, cluster_sharing, embedding_clusters,
         top_clones, vh_matches, cdr3_matches, match_stats, identity_bands, match_stats_by_timepoint, content_counts, top_consistent, clone_trees,
     )
 }

@@ -154,6 +154,65 @@ def shared_sheet(spark: SparkSession, d: str) -> DataFrame:
     return K.shared_sheet(P.heatmap(s, ["cohort", "clone_id"], clones=P.public_clones(s, ["cohort", "clone_id"]), scope=["cohort"]), ["cohort", "clone_id"])
 
 
+def attached_files(spark: SparkSession, d: str) -> DataFrame:
+    """File of every clone_pass record by the suffix of its id, and that file's timepoint."""
+    f = read(spark, d, "sequences").where("sample_file is not null").select(F.regexp_extract("sample_file", r"run(\d+)", 1).cast("long").alias("file_id"), F.col("sample_file").alias("filename"), "timepoint").distinct()
+    c = read(spark, d, "clone_pass").select(clean.record_id("sequence_id").alias("sequence_id")).where("sequence_id is not null").distinct()
+    named = R.attach_file(c, f.select("file_id", "filename").distinct())
+    return R.attach_timepoint(named, f.select("filename", "timepoint")).select("sequence_id", "file_id", "sample_file", "timepoint")
+
+
+def _staging(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as contigs of customers' cells, nations as sample tags, regions as groups; two tags are unusable."""
+    contigs = read(spark, d, "orders").select(F.col("o_custkey").alias("cell_id"), F.col("o_orderkey").alias("sequence_id"))
+    tag = F.when(F.col("c_nationkey") == 3, "Multiplet").when(F.col("c_nationkey") == 7, "Undetermined").otherwise(F.col("c_nationkey").cast("string"))
+    tags = read(spark, d, "customer").select(F.col("c_custkey").alias("Cell_Index"), tag.alias("Sample_Tag"), F.col("c_custkey").alias("pos"))
+    named = read(spark, d, "nation").where("n_nationkey <> 11").select(F.col("n_nationkey").cast("string").alias("sampleTag"), F.concat(F.lit(" g"), "n_regionkey").alias("group"), F.lit("").alias("mouseLabel"), F.lit(None).cast("string").alias("timepoint"))
+    return contigs, tags, named
+
+
+def demultiplexed(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs with sample tag, group, mouse and timepoint."""
+    return R.demultiplex(*_staging(spark, d)).select("sequence_id", "cell_id", "sample_tag", "group", "mouse", "timepoint")
+
+
+def staging_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs scanned, kept, their cells, and contigs dropped for their tag."""
+    contigs, tags, named = _staging(spark, d)
+    return R.staging_summary(contigs, tags, R.demultiplex(contigs, tags, named))
+
+
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """First line of each order and return flag, as first hit of a query and segment."""
+    l = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("chain_type"), F.struct("l_linenumber", "l_partkey").alias("pos"), "l_partkey", "l_linenumber")
+    return R.first_hits(l).select("query_id", "chain_type", "l_partkey", "l_linenumber")
+
+
+def contig_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs, cells, heavy and light ones; orders as cells and return flags as chains."""
+    l = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("barcode"), F.when(F.col("l_returnflag") == "A", "IGH").when(F.col("l_returnflag") == "R", "IGK").otherwise("IGL").alias("chain"))
+    return R.contig_summary(l)
+
+
+def group_names(spark: SparkSession, d: str) -> DataFrame:
+    """Tags per group and the first position of each group."""
+    n = read(spark, d, "nation").select(F.concat(F.lit(" "), F.col("n_regionkey").cast("string")).alias("group"), F.col("n_nationkey").alias("pos"))
+    return R.cohort_names(n)
+
+
+def lost_records(spark: SparkSession, d: str) -> DataFrame:
+    """clone_pass completed by the sequences it lost, whose two texts are equally long (as rescued)."""
+    cp = seqs(spark, d).select("sequence_id", F.col("cdr3").alias("sequence_alignment"), F.col("cdr3").alias("germline_alignment"), F.col("v").alias("v_call"))
+    gp = read(spark, d, "clone_pass").select(clean.record_id("sequence_id").alias("sequence_id")).where("sequence_id is not null").distinct()
+    return R.rescue(cp, gp).select("sequence_id", "germline_rescued", "germline_v_call")
+
+
+def tree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Clones named by clone_pass with their size in sequences, 0 where absent."""
+    t = read(spark, d, "clone_pass").where("clone_id is not null").select(F.col("cohort_name").alias("cohort"), "clone_id").distinct()
+    return R.size_lookup(t, seqs(spark, d), ["cohort", "clone_id"])
+
+
 def antibody_bands(spark: SparkSession, d: str) -> DataFrame:
     """Matches of clones placed at day14 only."""
     from vdjlake.plans import clones as C
@@ -166,7 +225,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         heavy_rows, search_rows, tree_search, toggled_rows, min_clone_rows, consistent_clones, merged_fails, clone_pass_only, isotype_calls, filled_calls, file_design, rows_by_design,
-        browser_groups, reconciled_design, ranked_labels, best_parts, label_order, sample_set_relations, fasta_round_trip, tsv_round_trip, csv_fields, shared_sheet, antibody_bands,
+        browser_groups, reconciled_design, ranked_labels, best_parts, label_order, sample_set_relations, fasta_round_trip, tsv_round_trip, csv_fields, shared_sheet, attached_files,
+        demultiplexed, staging_counts, first_hits, contig_counts, group_names, lost_records, tree_sizes, antibody_bands,
     )
 }
 
@@ -198,6 +258,18 @@ n AS (SELECT *, len(m) AS k, len(list_filter(m, lambda x: x IN ('mouse1', 'mouse
 SELECT DISTINCT clone_key, CASE WHEN h = k AND h = 2 THEN 'equal' WHEN h = k THEN 'subset' WHEN h = 2 THEN 'superset' WHEN h > 0 THEN 'overlap' ELSE 'disjoint' END AS relation FROM n""",
     "fasta_round_trip": "SELECT id AS sequence_id, any_value(upper(regexp_replace(cdr3_dna, '\\s', '', 'g'))) AS sequence FROM sequences WHERE deleted_at IS NULL AND id IS NOT NULL AND length(cdr3_dna) > 0 GROUP BY id",
     "tsv_round_trip": f"SELECT {_CID} AS sequence_id, any_value(locus) AS locus, any_value(CASE WHEN lower(trim(v_call)) NOT IN {MISSING} THEN trim(v_call) END) AS v_call, any_value(clone_id) AS clone_id, any_value(CASE WHEN NOT isnan(dist_nearest) THEN dist_nearest END) AS dist_nearest FROM clone_pass WHERE {_CID} <> '' GROUP BY 1",
+    "attached_files": f"""WITH f AS (SELECT DISTINCT regexp_extract(sample_file, 'run([0-9]+)', 1) AS fid, sample_file, timepoint FROM sequences WHERE sample_file IS NOT NULL),
+c AS (SELECT DISTINCT {_CID} AS sequence_id FROM clone_pass WHERE {_CID} <> '')
+SELECT sequence_id, nullif(regexp_extract(sequence_id, '_([0-9]+)$', 1), '') AS file_id, coalesce(f.sample_file, 'unknown.fasta') AS sample_file, f.timepoint FROM c LEFT JOIN f ON f.fid = regexp_extract(sequence_id, '_([0-9]+)$', 1)""",
+    "demultiplexed": """SELECT o_orderkey AS sequence_id, o_custkey AS cell_id, CAST(c_nationkey AS VARCHAR) AS sample_tag, 'g' || n_regionkey AS "group", 'Mouse1' AS mouse, 'endpoint' AS timepoint
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey NOT IN (3, 7, 11)""",
+    "staging_counts": """SELECT (SELECT count(*) FROM orders) AS scanned, count(*) FILTER (WHERE c_nationkey NOT IN (3, 7, 11)) AS kept, count(DISTINCT o_custkey) FILTER (WHERE c_nationkey NOT IN (3, 7, 11)) AS cells, count(*) FILTER (WHERE c_nationkey IN (3, 7)) AS dropped_tag
+FROM orders JOIN customer ON c_custkey = o_custkey""",
+    "first_hits": "SELECT l_orderkey AS query_id, l_returnflag AS chain_type, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) x WHERE r = 1",
+    "contig_counts": "SELECT count(*) AS contigs, count(DISTINCT l_orderkey) AS cells, count(*) FILTER (WHERE l_returnflag = 'A') AS heavy, count(*) FILTER (WHERE l_returnflag <> 'A') AS light FROM lineitem",
+    "group_names": "SELECT CAST(n_regionkey AS VARCHAR) AS \"group\", count(*) AS tags, min(n_nationkey) AS first FROM nation GROUP BY 1",
+    "lost_records": f"WITH {S}, g AS (SELECT DISTINCT {_CID} AS sequence_id FROM clone_pass WHERE {_CID} <> '') SELECT sequence_id, false AS germline_rescued, NULL AS germline_v_call FROM g UNION ALL SELECT sequence_id, true, v FROM s WHERE cdr3 IS NOT NULL AND sequence_id NOT IN (SELECT sequence_id FROM g)",
+    "tree_sizes": f"WITH {S}, t AS (SELECT DISTINCT cohort_name AS cohort, clone_id FROM clone_pass WHERE clone_id IS NOT NULL) SELECT t.cohort, t.clone_id, count(s.sequence_id) AS clone_size FROM t LEFT JOIN s ON s.cohort = t.cohort AND s.clone_id = t.clone_id GROUP BY 1, 2",
     "csv_fields": """SELECT DISTINCT antibody_name, CASE WHEN regexp_matches(coalesce(binds_to, ''), '[,"\\r\\n]') THEN '"' || replace(binds_to, '"', '""') || '"' ELSE coalesce(binds_to, '') END AS binds_to,
   CASE WHEN regexp_matches(coalesce(origin, ''), '[,"\\r\\n]') THEN '"' || replace(origin, '"', '""') || '"' ELSE coalesce(origin, '') END AS origin FROM antibodies""",
 }

@@ -168,6 +168,14 @@ def diversity_trajectory(spark: SparkSession, d: str) -> DataFrame:
     return L.trajectories(s, ["cohort"], D.diversity(s, CT)).select(*CT, "shannon", "clones")
 
 
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each cohort and timepoint with a column per V family and class."""
+    from vdjlake.sinks import tables as K
+
+    s = seqs(spark, d)
+    return K.dashboard(D.bundle(s, CT), U.family_usage(s, CT), U.isotype_usage(s, CT), CT)
+
+
 def clone_ids_by_timepoint(spark: SparkSession, d: str) -> DataFrame:
     t = L.clone_ids_by_timepoint(_tracks(spark, d), ["cohort"])
     return t.select("cohort", "track", "timepoint", F.array_join(F.transform("clones", lambda x: x.cast("string")), "|").alias("clones"))
@@ -178,7 +186,7 @@ QUERIES = {
     for f in (
         clone_sizes, diversity_by_timepoint, diversity_bundle, mutation_stats, rank_abundance, with_clone_size, pooled_metrics, dashboard_summary, v_family_usage, top_v_families,
         isotype_usage, isotype_counts, isotype_tiles, label_scores, public_clones, exact_public, public_stats, public_ids, repertoire_totals, clone_heatmap, shared_pairs,
-        set_intersections, bipartite, clone_buckets, tracked_sizes, size_trends, mutation_gain, track_frequencies, clone_status, status_counts, diversity_trajectory, clone_ids_by_timepoint,
+        set_intersections, bipartite, clone_buckets, tracked_sizes, size_trends, mutation_gain, track_frequencies, clone_status, status_counts, diversity_trajectory, clone_ids_by_timepoint, dashboard,
     )
 }
 

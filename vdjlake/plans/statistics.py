@@ -43,6 +43,16 @@ def cohort_tests(spark: SparkSession, d: str) -> DataFrame:
     return q.select("metric", "cohort_1", "cohort_2", "n1", "n2", "valid", "u", "r", "p", "q", X.stars("p").alias("stars"), X.p_text("p").alias("p_text"))
 
 
+def statistics_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics block of the per-sample report: two pools, diversity and isotypes."""
+    from vdjlake.sinks import tables as K
+
+    div = T.compare_groups(_samples(spark, d), "cohort", ["metric"]).withColumn("pool", F.lit("diversity"))
+    u = U.isotype_usage(seqs(spark, d), ["cohort", "sample_file"]).select("cohort", F.col("class").alias("metric"), F.col("frequency").alias("value"))
+    iso = T.compare_groups(u, "cohort", ["metric"]).withColumn("pool", F.lit("isotype"))
+    return K.sample_sheets(_samples(spark, d), T.fdr(div.unionByName(iso), ["pool"]))["Statistics"]
+
+
 def isotype_tests(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of cohorts by each class's frequency over their samples, one pool of q-values."""
     u = U.isotype_usage(seqs(spark, d), ["cohort", "sample_file"]).select("cohort", F.col("class").alias("metric"), F.col("frequency").alias("value"))
@@ -64,7 +74,7 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
     return T.box(seqs(spark, d), ["cohort"], "shm")
 
 
-QUERIES = {f.__name__: f for f in (midranks, rank_sum_orders, sample_metrics, cohort_tests, isotype_tests, adjusted_p, mean_sem, box_stats)}
+QUERIES = {f.__name__: f for f in (midranks, rank_sum_orders, sample_metrics, cohort_tests, statistics_sheet, isotype_tests, adjusted_p, mean_sem, box_stats)}
 
 _CDF = "(CASE WHEN {z} < -8 THEN 0.0 WHEN {z} > 8 THEN 1.0 WHEN {z} >= 0 THEN 0.5 * (1 + {e}) ELSE 0.5 * (1 - {e}) END)"
 _T = "(1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)))"

@@ -93,6 +93,18 @@ def shared_sheet(grid: DataFrame, keys: list[str], value: str = "n") -> DataFram
     return wide.unionByName(total, allowMissingColumns=True)
 
 
+def sample_sheets(metrics: DataFrame, tests: DataFrame) -> dict[str, DataFrame]:
+    """Per-sample metrics, and the rank-sum tests with their two pools of adjusted p-values as texts."""
+    shown = tests.select(*[c for c in tests.columns if c not in ("p", "q")], X.p_text("p").alias("p"), X.p_text("q").alias("q"), X.stars("q").alias("stars"))
+    return {"Samples": metrics, "Statistics": shown}
+
+
+def cluster_sheets(rollup: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """Clusters across cohorts with a column of rows per cohort, and their members."""
+    per = members.groupBy("cluster").pivot("cohort").agg(F.sum("rows"))
+    return {"Lineages": rollup.drop("by_cohort").join(per, "cluster", "left"), "Members": members}
+
+
 def match_sheets(clones: DataFrame, matches: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
     return {"Clone summary": clones, "All matches": matches, "Stats": stats}
 
