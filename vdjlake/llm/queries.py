@@ -14,10 +14,9 @@ from vdjlake.session import read
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of nearly equal junctions, each with the group's smallest sequence_id."""
-    v = read(spark, sf_dir, "sequences").select("id", clean.gene("v_gene").alias("v")).where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    v = read(spark, sf_dir, "sequences").select("id", clean.gene("v_gene").alias("v")).where("id is not null and v is not null").distinct()
     c = read(spark, sf_dir, "clone_pass").select(clean.record_id("sequence_id").alias("sequence_id"), "cohort_name", clean.letters("junction").alias("nt"), clean.letters("junction_aa").alias("aa"))
-    c = c.where("sequence_id is not null").groupBy("sequence_id").agg(F.min("cohort_name").alias("cohort_name"), F.max("nt").alias("nt"), F.max("aa").alias("aa"))
-    records = c.join(v, F.col("sequence_id") == F.col("id")).drop("id")
+    records = c.where("sequence_id is not null").join(v, F.col("sequence_id") == F.col("id")).drop("id")  # repeated rows count once there
     groups = near_duplicates.near_duplicates(records, "sequence_id", ["cohort_name", "v"], "nt", "aa")
     return groups.where("group_id <> sequence_id").select(F.col("group_id").alias("sequence_id_a"), F.col("sequence_id").alias("sequence_id_b"))
 
