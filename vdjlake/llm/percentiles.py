@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Normalised rank error of a quantile at k = 200, at 99 % confidence.
 RANK_ERROR = 0.0133
-#: Size of the top compactor: rank error of about 0.12 %.
+#: Size of the top compactor: rank error of about 0.16 %.
 K = 2048
 
 

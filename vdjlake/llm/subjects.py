@@ -49,7 +49,7 @@ EARLY = 0.2
 #: Added to a subject's part of the document before it weighs a sentence's terms.
 PRIOR = 0.05
 #: Documents of one numeric step.
-STEP = 400
+STEP = 250
 
 _TAG = re.compile(r"<[^<>|]{1,80}>")
 _JSON = re.compile(r'^\s*\{\s*"[^"]*"\s*:\s*\d+\s*,\s*"\w+"\s*:\s*"|"\s*\}\s*$')
