@@ -138,8 +138,8 @@ def cluster_sharing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors within a cosine distance of 0.05 of each other, by single linkage."""
-    return C.embedding_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 0.05)
+    """Vectors within a cosine distance of 0.01 of each other, by single linkage."""
+    return C.embedding_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 0.01)
 
 
 def _antibodies(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +280,6 @@ SELECT jn.sequence_id, m.d / CAST(length(jn.junction) AS DOUBLE) AS nearest FROM
 SELECT cohort, CASE WHEN grouping(timepoint) = 1 THEN 'All' ELSE timepoint END AS timepoint, count(*) AS n, count(*) FILTER (WHERE identity >= 40) AS high, count(*) FILTER (WHERE identity >= 40) / CAST(count(*) AS DOUBLE) * 100 AS percent_high FROM b GROUP BY GROUPING SETS ((cohort), (cohort, timepoint))""",
     "content_counts": f"WITH {_J} SELECT cohort, clone_id, replace(junction, 'N', '') AS content, count(*) AS n FROM jn WHERE clone_id IS NOT NULL AND junction IS NOT NULL GROUP BY 1, 2, 3",
     "top_consistent": f"WITH {_J} SELECT cohort, clone_id, count(*) AS size FROM jn WHERE clone_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT v) <= 1 AND count(*) >= 3 ORDER BY size DESC, cohort, clone_id LIMIT 20",
-    "embedding_clusters": f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.05), {_closure('e')}
+    "embedding_clusters": f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.01), {_closure('e')}
 SELECT vec_id, coalesce(component, vec_id) AS cluster FROM embeddings LEFT JOIN comp ON node = vec_id""",
 }
