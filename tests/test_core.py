@@ -143,6 +143,7 @@ def test_hamming_pairs(spark):
     texts = ["".join(rng.choice(list("AB"), 9)) for _ in range(60)] + ["AAAA", "AAAB"]
     df = spark.createDataFrame([("x", i, t, "z") for i, t in enumerate(texts)] + [("x", 99, None, "z"), (None, 98, "AAAA", "z")], "block string, id long, t string, k string")
     got = {(r["a"], r["b"]) for r in similarity.hamming_pairs(df, ["block"], "t", "id", F.lit(2)).collect()}
+    assert sorted(map(tuple, similarity.hamming_pairs(df, ["block"], "t", "id", F.lit(2), together=2).select("a", "b").collect())) == sorted(got)
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(texts[i]) == len(texts[j]) and sum(a != b for a, b in zip(texts[i], texts[j])) <= 2}
     assert got == want
     assert similarity.hamming_pairs(df, ["block"], "t", "id", F.lit(2)).count() == len(want)

@@ -117,7 +117,7 @@ def nearest_distance(df: DataFrame, block: list[str], text: str, key: str, withi
     texts = rows.select(*block, F.col(text).alias("t")).distinct().withColumn("n", F.length("t")).where("n > 0")
     if within < 1:
         named = texts.withColumn("k", F.concat_ws("\u0001", *block, "t"))
-        p = hamming_pairs(named.select(*block, F.col("t"), "k"), block, "t", "k", F.floor(F.lit(within) * F.length("t") + F.lit(1e-9)))
+        p = hamming_pairs(named.select(*block, F.col("t"), "k"), block, "t", "k", F.floor(F.lit(within) * F.length("t") + F.lit(1e-9)), together=2 if within > 0.12 else 1)
         both = p.select(*block, F.col("t_a").alias("t"), "distance").unionByName(p.select(*block, F.col("t_b").alias("t"), "distance"))
     else:
         a, b = texts.select(*block, "n", "t"), texts.select(*block, "n", F.col("t").alias("u"))

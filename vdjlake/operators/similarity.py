@@ -13,39 +13,42 @@ from pyspark.sql import functions as F
 from vdjlake.functions import sequence as X
 
 
-def hamming_pairs(df: DataFrame, block: list[str], text: str, key: str, limit: Column, extra: Column | None = None) -> DataFrame:
+def _segment(text: str, i: str) -> str:
+    """SQL of the ``i``-th of __n segments of a text of __len letters."""
+    return f"substring({text}, cast(floor({i} * __len / __n) as int) + 1, cast(floor(({i} + 1) * __len / __n) - floor({i} * __len / __n) as int))"
+
+
+def hamming_pairs(df: DataFrame, block: list[str], text: str, key: str, limit: Column, extra: Column | None = None, together: int = 1) -> DataFrame:
     """``a, b, text_a, text_b, distance``: pairs of keys a < b of one block whose equally long texts differ in at most ``limit`` places.
 
     ``limit`` is an expression on the column ``text``. ``extra`` is a further
     condition on the columns of both sides (named ``<column>_a``, ``<column>_b``).
-    Rows whose block, text or key is null take no part.
+    With ``together`` = 2 a text has k + 2 segments, of which two must agree, and the
+    join is on every two of them: more rows, but far fewer chance meetings where
+    segments are short (wide limits, small alphabets). Rows whose block, text or
+    key is null take no part.
     """
+    if together not in (1, 2):
+        raise ValueError("together is 1 or 2")
     cols = [c for c in df.columns if c not in block]
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key])).withColumn("__k", limit.cast("int")).withColumn("__len", F.length(text))
-    rows = rows.withColumn(
-        "__seg",
-        F.explode(
-            F.expr(
-                f"transform(sequence(0, __k), i -> struct(i, substring(`{text}`, cast(floor(i * __len / (__k + 1)) as int) + 1,"
-                " cast(floor((i + 1) * __len / (__k + 1)) - floor(i * __len / (__k + 1)) as int)) as s))"
-            )
-        ),
+    rows = rows.withColumn("__n", F.col("__k") + together)
+    one = f"transform(sequence(0, __n - 1), i -> struct(i as i, i as j, {_segment(f'`{text}`', 'i')} as s))"
+    two = (
+        f"flatten(transform(sequence(0, __n - 2), i -> transform(sequence(i + 1, __n - 1), j ->"
+        f" struct(i as i, j as j, concat({_segment(f'`{text}`', 'i')}, '|', {_segment(f'`{text}`', 'j')}) as s))))"
     )
+    rows = rows.withColumn("__seg", F.explode(F.expr(one if together == 1 else two)))
     on = [*block, "__len", "__seg"]
-    a = rows.select(*on, "__k", *[F.col(c).alias(f"{c}_a") for c in cols])
+    a = rows.select(*on, "__k", "__n", *[F.col(c).alias(f"{c}_a") for c in cols])
     b = rows.select(*on, *[F.col(c).alias(f"{c}_b") for c in cols])
     pairs = a.join(b, on).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
     if extra is not None:
         pairs = pairs.where(extra)
-    # a pair meets once for each segment it shares: keep the first of those
-    first = F.expr(
-        f"filter(transform(sequence(0, __seg.i), i -> substring({text}_a, cast(floor(i * __len / (__k + 1)) as int) + 1, cast(floor((i + 1) * __len / (__k + 1)) - floor(i * __len / (__k + 1)) as int))"
-        f" = substring({text}_b, cast(floor(i * __len / (__k + 1)) as int) + 1, cast(floor((i + 1) * __len / (__k + 1)) - floor(i * __len / (__k + 1)) as int))), x -> x)"
-    )
-    d = X.hamming(F.col(f"{text}_a"), F.col(f"{text}_b"))
-    return pairs.where(F.size(first) == 1).withColumn("distance", d).where(F.col("distance") <= F.col("__k")).select(
-        F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), *[c for c in pairs.columns if c not in ("__len", "__seg", "__k", f"{key}_a", f"{key}_b")], "distance"
-    )
+    # a pair meets once for each segment (or two of them) it shares: keep the first of those
+    agree = F.expr(f"filter(sequence(0, __seg.j), i -> {_segment(f'{text}_a', 'i')} = {_segment(f'{text}_b', 'i')})")
+    first = pairs.withColumn("distance", X.hamming(F.col(f"{text}_a"), F.col(f"{text}_b"))).where(F.col("distance") <= F.col("__k")).where(F.size(agree) == together)
+    return first.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), *[c for c in pairs.columns if c not in ("__len", "__seg", "__k", "__n", f"{key}_a", f"{key}_b")], "distance")
 
 
 def edit_pairs(df: DataFrame, block: list[str], text: str, key: str, edits: int) -> DataFrame:

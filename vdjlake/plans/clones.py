@@ -98,8 +98,8 @@ def linkage_clones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance to another junction of the V gene, null where none is within 20 %."""
-    return C.nearest_distance(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id", within=0.2)
+    """Least distance to another junction of the V gene, null where none is within 10 % (the clone threshold)."""
+    return C.nearest_distance(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id", within=0.1)
 
 
 def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +268,7 @@ SELECT sequence_id, CAST(clone_id + shift AS BIGINT) AS global_clone FROM s LEFT
 e AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND length(a.junction) = length(b.junction) AND a.rep < b.rep AND hamming(a.junction, b.junction) <= floor(0.10 * length(a.junction) + 1e-9)), {_closure('e')}
 SELECT jn.sequence_id, coalesce(comp.component, u.rep) AS clone FROM jn JOIN u ON u.cohort = jn.cohort AND u.v = jn.v AND u.junction = jn.junction LEFT JOIN comp ON comp.node = u.rep""",
     "nearest_distance": f"""WITH {_J}, u AS (SELECT DISTINCT cohort, v, junction FROM jn WHERE cohort IS NOT NULL AND v IS NOT NULL AND junction IS NOT NULL),
-m AS (SELECT a.cohort, a.v, a.junction, min(hamming(a.junction, b.junction)) AS d FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND length(a.junction) = length(b.junction) AND a.junction <> b.junction WHERE hamming(a.junction, b.junction) <= floor(0.2 * length(a.junction) + 1e-9) GROUP BY 1, 2, 3)
+m AS (SELECT a.cohort, a.v, a.junction, min(hamming(a.junction, b.junction)) AS d FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND length(a.junction) = length(b.junction) AND a.junction <> b.junction WHERE hamming(a.junction, b.junction) <= floor(0.1 * length(a.junction) + 1e-9) GROUP BY 1, 2, 3)
 SELECT jn.sequence_id, m.d / CAST(length(jn.junction) AS DOUBLE) AS nearest FROM jn LEFT JOIN m ON m.cohort = jn.cohort AND m.v = jn.v AND m.junction = jn.junction WHERE jn.cohort IS NOT NULL AND jn.v IS NOT NULL AND jn.junction IS NOT NULL""",
     "distance_histogram": f"WITH {_J}, v AS (SELECT cohort, CAST(least(floor(dist_nearest * 50), 49) AS INT) AS bin FROM jn WHERE dist_nearest > 0 AND dist_nearest <= 1 AND NOT isnan(dist_nearest)) SELECT cohort, bin, bin / 50.0 AS low, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY cohort) AS DOUBLE) * 50 AS density FROM v GROUP BY cohort, bin",
     "top_clones": f"WITH {_TOP} SELECT * FROM top",
