@@ -136,6 +136,9 @@ def brute_components(edges):
 def test_connected(spark, edges):
     df = spark.createDataFrame(edges + [(None, 3), (4, None)], "a long, b long")
     assert sorted(tuple(r) for r in components.connected(df).collect()) == brute_components(edges)
+    assert sorted(tuple(r) for r in components.connected(df, one_task=0).collect()) == brute_components(edges)
+    texts = df.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b"))
+    assert sorted(map(tuple, components.connected(texts).collect())) == sorted(map(tuple, components.connected(texts, one_task=0).collect()))
 
 
 def test_hamming_pairs(spark):

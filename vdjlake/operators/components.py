@@ -4,23 +4,64 @@ Used for the library's own graphs (clones, lineages, cohort clusters). Each
 round every node takes the least label of itself and its neighbours, then the
 label of its label; the jumps make long chains settle in a logarithmic number
 of rounds. Each round is written to the shared folder and read back.
+
+A graph whose counted edges fit one task (``ONE_TASK``) is solved there by
+union-find with the same result; rounds of jobs over a few thousand edges would
+cost more than the edges do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vdjlake.session import discard, table
 
+#: Edges up to which one task solves the graph.
+ONE_TASK = 200_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    x, y = (c.combine_chunks() for c in t.columns)
+    nodes, number = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)]), return_inverse=True)
+    up = list(range(len(nodes)))  # numbers follow the order of the nodes
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    n = len(x)
+    for i, j in zip(number[:n].tolist(), number[n:].tolist()):
+        i, j = find(i), find(j)
+        if i < j:
+            up[j] = i
+        elif j < i:
+            up[i] = j
+    roots = np.array([find(i) for i in range(len(nodes))])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, type=x.type), pa.array(nodes[roots], type=x.type)], names=["node", "component"])
+
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """``node, component``: every node of an edge with the least node of its component.
 
     Null ends are left out; a self link makes a component of one.
     """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    both = table(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "graph")
+    e = table(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct(), "graph")
+    kind = dict(e.dtypes)["x"]
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
+    both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    both = table(both, "graph")
     labels = table(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
