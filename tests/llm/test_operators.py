@@ -142,6 +142,16 @@ def test_local_search_beats_first_packing():
         assert (f2 > 0).sum() <= (f0 > 0).sum() and (f2**2).sum() >= (f0**2).sum()
 
 
+@pytest.mark.parametrize("sizes", [[1100] * 900, [700, 1300] * 300, list(range(1025, 1925)), [2048] * 50 + [1] * 2000])
+def test_packing_of_awkward_sizes_is_bounded(sizes):
+    import time
+
+    t = time.time()
+    s = np.array(sizes)
+    used = len(np.unique(packing.pack(s, 2048)))
+    assert packing.fewest(s, 2048) <= used <= packing.fewest(s, 2048) * 1.02 + 1 and time.time() - t < 20
+
+
 def test_containers(spark):
     rng = np.random.default_rng(1)
     sizes = [int(x) for x in rng.integers(0, 900, 300)] + [0, 5000, 2048, 2049, None]

@@ -5,7 +5,7 @@ their id; a shard is packed in one task: a first packing by decreasing size,
 then a local search that moves a document, exchanges one for one or two for one
 between underfull containers. Every step raises the sum of squared fills, so
 the fuller container of a pair gets fuller, the emptier one runs empty, and the
-search ends; it ends early when the shard has as few containers as its tokens
+search ends; it ends early when the shard has as few containers as its items
 allow. The containers of the shards that stay visibly underfull are opened
 once more and packed together, in shards again.
 
@@ -32,6 +32,8 @@ from vdjlake.session import table
 SHARD_ITEMS = 4_000
 #: Containers of the first pass below this fill are opened again.
 REOPEN = 0.995
+#: Steps of the local search per container of a shard.
+STEPS = 20
 
 
 def first_packing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,16 +59,34 @@ def first_packing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndar
     return where, np.array(fills, dtype=np.int64)
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> int:
+    """A lower bound of the containers: large items cannot share, and what is left must fit beside them."""
+    s = np.sort(sizes)
+    total = np.concatenate([[0], np.cumsum(s)])
+    best = -(-int(total[-1]) // capacity)
+    half = int(np.searchsorted(s, capacity / 2, side="right"))
+    for alpha in np.unique(np.concatenate([[0], s[:half]]))[:: max(1, half // 200)]:
+        low = int(np.searchsorted(s, alpha))
+        high = int(np.searchsorted(s, capacity - alpha, side="right"))
+        beside = (high - half) * capacity - int(total[high] - total[half])
+        more = max(0, -(-(int(total[half] - total[low]) - beside) // capacity))
+        best = max(best, len(s) - half + more)
+    return best
+
+
 def local_search(sizes: np.ndarray, where: np.ndarray, fills: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Moves and exchanges between underfull containers until none raises the squared fill.
 
     The donor is the emptiest container that may still give; each step puts as
-    much of it as fits into fuller ones.
+    much of it as fits into fuller ones. The search also ends after ``STEPS`` steps
+    per container, which only exchanges that empty nothing ever take.
     """
     where, fills = where.copy(), fills.copy()
-    least = max(1, -(-int(sizes.sum()) // capacity))
+    least = max(1, fewest(sizes, capacity))
     stuck = np.zeros(len(fills), dtype=bool)
-    while int((fills > 0).sum()) > least:
+    for _ in range(STEPS * len(fills)):
+        if int((fills > 0).sum()) <= least:
+            break
         open_ = np.flatnonzero((fills > 0) & (fills < capacity) & ~stuck)
         if len(open_) < 2:
             break
