@@ -479,8 +479,6 @@ def near_duplicates(records: DataFrame, key: str, block: list[str], text: str, o
     either lacks it, their ``other``) agrees in at least 85 % of the longer one;
     groups are closed under links.
     """
-    spark = records.sparkSession
-    del spark
     cols = [F.col(key).alias("k"), F.xxhash64(*block).alias("block"), F.col(text).alias("x"), (F.col(other) if other else F.lit(None).cast("string")).alias("y")]
     rec = records.where(" and ".join(f"`{c}` is not null" for c in [key, *block])).select(*cols).where("x is not null or y is not null")
     rec = table(rec.groupBy("k").agg(F.min("block").alias("block"), F.max("x").alias("x"), F.max("y").alias("y")), "records")
