@@ -115,8 +115,6 @@ def default_ids(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> dict:
     """A small JSON side file (mappings, designs) on the driver."""
-    fs, p = _fs(spark, path)
-    del fs, p
     return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).limit(1).collect()))
 
 
