@@ -43,7 +43,7 @@ from vdjlake.session import discard, table
 #: Columns of the document-term matrix.
 TERMS = 1 << 17
 #: Alternations of W and H, and updates of W in each.
-ROUNDS, INNER = 3, 12
+ROUNDS, INNER = 3, 8
 #: A sentence's first terms weigh 1 + EARLY, its last 1 - EARLY: what it is about comes before what it mentions.
 EARLY = 0.2
 #: Added to a subject's part of the document before it weighs a sentence's terms.
@@ -108,8 +108,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mixtures(row: np.ndarray, n_rows: int, cols: np.ndarray, vals: np.ndarray, h: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
     """(W, responsibilities of the cells): multiplicative updates of W with H fixed."""
-    hc = h[:, cols].T + 1e-12
-    w = np.ones((n_rows, h.shape[0]))
+    hc = np.ascontiguousarray(h.astype(np.float32, copy=False)[:, cols].T) + np.float32(1e-12)
+    vals = vals.astype(np.float32, copy=False)
+    w = np.ones((n_rows, h.shape[0]), dtype=np.float32)
     r = hc
     starts = np.searchsorted(row, np.arange(n_rows))
     for _ in range(inner):
@@ -203,7 +204,7 @@ def factor(bags: DataFrame, h: np.ndarray, anchors: np.ndarray, n_subjects: int,
     """
     k = h.shape[0]
     for _ in range(rounds):
-        parts = bags.mapInArrow(_numerators(h), "t int, " + ", ".join(f"c{i} double" for i in range(k)))
+        parts = bags.mapInArrow(_numerators(h.astype(np.float32)), "t int, " + ", ".join(f"c{i} double" for i in range(k)))
         sums = parts.groupBy("t").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
         new = np.zeros_like(h)
         new[:, sums["t"].to_numpy()] = sums[[f"c{i}" for i in range(k)]].to_numpy().T
