@@ -193,6 +193,29 @@ def test_clone_calling(spark, rows):
         lineages.linkage_clones(df, ["v"], "j", "k", 0.1, "?")
 
 
+def test_nearest_distance_has_no_cut(spark, rows, monkeypatch):
+    """The registered query gives every row its nearest distance unless it is alone, however far; in tiles too."""
+    from vdjlake.plans import clones
+
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("ACGT"), n)) for n in [20] * 40 + [21] * 25 + [30]]
+    texts += [texts[0][:-1] + ("A" if texts[0][-1] != "A" else "C"), texts[1], "ACGT" * 5]
+    data = [("x" if i % 3 else "y", "V1", t, f"s{i:03}") for i, t in enumerate(texts)]
+    data += [("x", "V2", "ACGTACGTAC", "far1"), ("x", "V2", "TGCATGCATG", "far2"), ("x", None, "ACGTACGTAC", "none")]
+    df = spark.createDataFrame(data, "cohort string, v string, junction string, sequence_id string")
+    want = {}
+    for c, v, t, k in data:
+        if v:
+            d = [sum(x != y for x, y in zip(t, u)) for c2, v2, u, _ in data if (c2, v2, len(u)) == (c, v, len(t)) and u != t]
+            want[k] = min(d) / len(t) if d else None
+    assert want["far1"] == 1.0 and None in want.values()
+    monkeypatch.setattr(clones, "_junctions", lambda spark, d: df)
+    for tile in (4096, 7):
+        monkeypatch.setattr(lineages, "TILE", tile)
+        got = dict(rows(clones.nearest_distance(spark, "")))
+        assert got == want
+
+
 def test_threshold():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0.05, 0.01, 300), rng.normal(0.3, 0.05, 300)])

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vdjlake.functions import sequence as X
 from vdjlake.operators.components import connected, with_singletons
 from vdjlake.operators.similarity import hamming_pairs
+from vdjlake.session import table
+
+#: Part that may differ in the segment join before texts without such a neighbour are compared with their whole block.
+NEAR = 0.1
+#: Texts on either side of a tile of a block.
+TILE = 4096
 
 
 def clone_profiles(df: DataFrame, scope: list[str], v: str = "v", j: str = "j", cdr3: str = "cdr3", clone: str = "clone_id") -> DataFrame:
@@ -111,21 +118,53 @@ def nearest_distance(df: DataFrame, block: list[str], text: str, key: str, withi
     """``key, nearest``: least non-zero Hamming distance over the length to another distinct text of the block, null if none.
 
     Equal texts do not count. ``within`` bounds the part that may differ; below
-    1 the join needs only the segments that such texts must share.
+    1 the join needs only the segments that such texts must share. Without a bound
+    that join settles the texts with a near neighbour, and only the others are
+    compared with all texts of their block and length.
     """
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key]))
     texts = rows.select(*block, F.col(text).alias("t")).distinct().withColumn("n", F.length("t")).where("n > 0")
-    if within < 1:
-        named = texts.withColumn("k", F.concat_ws("\u0001", *block, "t"))
-        p = hamming_pairs(named.select(*block, F.col("t"), "k"), block, "t", "k", F.floor(F.lit(within) * F.length("t") + F.lit(1e-9)), together=2 if within > 0.12 else 1)
-        both = p.select(*block, F.col("t_a").alias("t"), "distance").unionByName(p.select(*block, F.col("t_b").alias("t"), "distance"))
-    else:
-        a, b = texts.select(*block, "n", "t"), texts.select(*block, "n", F.col("t").alias("u"))
-        both = a.join(b, [*block, "n"]).where("t <> u").select(*block, "t", X.hamming("t", "u").alias("distance"))
+    part = within if within < 1 else NEAR
+    named = texts.withColumn("k", F.concat_ws("\u0001", *block, "t"))
+    p = hamming_pairs(named.select(*block, F.col("t"), "k"), block, "t", "k", F.floor(F.lit(part) * F.length("t") + F.lit(1e-9)), together=2 if part > 0.12 else 1)
+    both = p.select(*block, F.col("t_a").alias("t"), "distance").unionByName(p.select(*block, F.col("t_b").alias("t"), "distance"))
     near = both.groupBy(*block, "t").agg(F.min("distance").alias("d"))
+    if within >= 1:
+        near = table(near, "near")
+        near = near.unionByName(_least_of_block(texts, texts.join(near, [*block, "t"], "left_anti"), block))
     return rows.select(*block, F.col(text).alias("t"), key).join(near, [*block, "t"], "left").select(key, (F.col("d") / F.length("t")).alias("nearest"))
 
 
+def _least_of_block(texts: DataFrame, open_: DataFrame, block: list[str]) -> DataFrame:
+    """``block..., t, d``: least distance of each open text to any other text of its block and length, all of them compared.
+
+    A large block is cut into tiles of TILE open texts by TILE texts, so no task holds a block.
+    """
+    on = [*block, "n"]
+    size = texts.groupBy(*on).agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(open_.groupBy(*on).agg(F.count(F.lit(1)).alias("o")), on)
+    size = size.select(*on, F.ceil(F.col("m") / TILE).cast("int").alias("down"), F.ceil(F.col("o") / TILE).cast("int").alias("across"))
+    at, every = "cast(pmod(xxhash64(t), {0}) as int)", "explode(sequence(0, {0} - 1))"
+    a = open_.join(size, on).select(*on, "t", F.lit(True).alias("open"), F.expr(at.format("across")).alias("i"), F.expr(every.format("down")).alias("j"))
+    b = texts.join(size, on).select(*on, "t", F.lit(False).alias("open"), F.expr(every.format("across")).alias("i"), F.expr(at.format("down")).alias("j"))
+    kinds = dict(texts.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in block) + ", t string, d int"
+
+    def least(t: pa.Table) -> pa.Table:
+        is_open = t["open"].to_numpy()
+        letters = np.array([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in t["t"].to_pylist()])
+        hot = np.concatenate([letters == c for c in np.unique(letters)], axis=1).astype(np.float32)
+        q, all_, n, d = hot[is_open], hot[~is_open], letters.shape[1], []
+        for k in range(0, len(q) if len(all_) else 0, 512):
+            equal = q[k : k + 512] @ all_.T
+            equal[equal == n] = -1  # the text itself
+            d.append(equal.max(axis=1))
+        found = np.concatenate(d) if d else np.full(len(q), -1.0)
+        out = t.filter(pa.array(is_open)).select([*block, "t"]).append_column("d", pa.array((n - found).astype(np.int32)))
+        return out.filter(pa.array(found >= 0))
+
+    return a.unionByName(b).groupBy(*on, "i", "j").applyInArrow(least, schema).groupBy(*block, "t").agg(F.min("d").alias("d"))
+
+
 def single_link_clones(df: DataFrame, block: list[str], text: str, key: str, threshold: float) -> DataFrame:
     """``key, clone``: single-linkage clones at a normalised Hamming distance of at most ``threshold``.
 

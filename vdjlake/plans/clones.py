@@ -98,8 +98,8 @@ def linkage_clones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance to another junction of the V gene, null where none is within 10 % (the clone threshold)."""
-    return C.nearest_distance(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id", within=0.1)
+    """Least distance to another junction of the V gene and length, null where there is none."""
+    return C.nearest_distance(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id")
 
 
 def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
