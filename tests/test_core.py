@@ -216,6 +216,16 @@ def test_nearest_distance_has_no_cut(spark, rows, monkeypatch):
         assert got == want
 
 
+def test_cluster_sharing_means_all_pairs(spark, monkeypatch):
+    """Members four edits apart count as such; with parts of one or two texts too."""
+    data = [("a", "a", "f1", "CAAAAAAAAF"), ("b", "a", "f2", "CDDAAAAAAF"), ("c", "a", "f2", "CAAAAAEEAF"), ("d", "a", "f1", "CDDAAAAAAF"), ("e", "e", "f1", "CKKF"), ("g", "e", "f2", "CKKF"), ("h", "h", "f1", "CRRF")]
+    df = spark.createDataFrame(data, "sequence_id string, leader string, file string, cdr3 string")
+    for part in (1024, 2, 1):
+        monkeypatch.setattr(sharing, "PART", part)
+        got = {r["leader"]: (r["files"], r["rows"], r["similarity"]) for r in sharing.cluster_sharing(df, "leader", "file", "cdr3").collect()}
+        assert got == {"a": (2, 4, 0.733), "e": (2, 2, 1.0)}  # (0.8 + 0.8 + 0.6) / 3
+
+
 def test_threshold():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0.05, 0.01, 300), rng.normal(0.3, 0.05, 300)])

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vdjlake.functions import sequence as X
 from vdjlake.operators.similarity import edit_pairs
 
+#: Distinct CDR3s of a cluster that are compared with as many others in one group.
+PART = 1024
+
 
 def patient_counts(df: DataFrame, keys: list[str], patient: str = "patient") -> DataFrame:
     """``keys..., patient, n``: rows of each clone per patient; null keys left out."""
@@ -143,11 +146,16 @@ def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id:
 def cluster_sharing(members: DataFrame, leader: str, file: str, cdr3: str, least: int = 2) -> DataFrame:
     """Clusters that span at least ``least`` files: ``leader, files, rows, similarity`` (mean over distinct pairs, 3 digits).
 
-    Similarity is averaged over the pairs of a cluster's distinct CDR3s with its
-    leader's, so it stays linear in the cluster's size.
+    Similarity is averaged over all pairs of a cluster's distinct CDR3s, 1 for a single one. Large
+    clusters are cut into parts of PART texts, and sums per two parts are added up, so
+    no task holds all pairs of a cluster.
     """
     a = members.groupBy(leader).agg(F.countDistinct(file).alias("files"), F.count(F.lit(1)).alias("rows")).where(F.col("files") >= least)
-    texts = members.select(leader, cdr3).distinct()
-    lead = members.where(F.col("sequence_id") == F.col(leader)).select(leader, F.col(cdr3).alias("__lead")).distinct()
-    sim = texts.join(lead, leader).where(F.col(cdr3) != F.col("__lead")).groupBy(leader).agg(F.round(F.avg(X.aa_similarity(cdr3, "__lead")), 3).alias("similarity"))
+    texts = members.join(a.select(leader), leader, "left_semi").select(leader, F.col(cdr3).alias("t")).where("t is not null").distinct()
+    size = texts.groupBy(leader).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    part = texts.join(size, leader).withColumn("p", F.expr("cast(pmod(xxhash64(t), parts) as int)")).withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
+    x = part.select(leader, F.col("p").alias("i"), F.col("q").alias("j"), F.col("t").alias("t1"))
+    y = part.select(leader, F.col("q").alias("i"), F.col("p").alias("j"), F.col("t").alias("t2"))
+    sums = x.join(y, [leader, "i", "j"]).where("t1 < t2").groupBy(leader, "i", "j").agg(F.sum(X.aa_similarity("t1", "t2")).alias("s"), F.count(F.lit(1)).alias("n"))
+    sim = sums.groupBy(leader).agg(F.round(F.sum("s") / F.sum("n"), 3).alias("similarity"))
     return a.join(sim, leader, "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
