@@ -226,6 +226,18 @@ def test_cluster_sharing_means_all_pairs(spark, monkeypatch):
         assert got == {"a": (2, 4, 0.733), "e": (2, 2, 1.0)}  # (0.8 + 0.8 + 0.6) / 3
 
 
+def test_clone_trees_query_has_no_size_cut(spark, monkeypatch):
+    """The registered query leaves no clone without a tree for its size."""
+    from vdjlake.plans import clones
+
+    df = spark.createDataFrame([("x", 1, "V1", t, f"s{i}") for i, t in enumerate(["ACGT", "ACGA", "ACCA", "TCGT"])], "cohort string, clone_id long, v string, junction string, sequence_id string")
+    bounds, whole = [], trees.clone_trees
+    monkeypatch.setattr(clones, "_junctions", lambda spark, d: df)
+    monkeypatch.setattr(trees, "clone_trees", lambda *a, **k: bounds.append(k.get("max_tips")) or whole(*a, **k))
+    r = clones.clone_trees(spark, "").collect()
+    assert bounds == [None] and r[0]["tips"] == 4 and r[0]["newick"].endswith(";")
+
+
 def test_threshold():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0.05, 0.01, 300), rng.normal(0.3, 0.05, 300)])

@@ -195,7 +195,7 @@ def top_consistent(spark: SparkSession, d: str) -> DataFrame:
 def clone_trees(spark: SparkSession, d: str) -> DataFrame:
     """Neighbour-joining trees of the largest consistent clones."""
     j = _junctions(spark, d).where("clone_id is not null and junction is not null")
-    return trees.clone_trees(R.align_union(j.join(top_consistent(spark, d), ["cohort", "clone_id"], "left_semi")), ["cohort", "clone_id"], "junction", "sequence_id", max_tips=2000)
+    return trees.clone_trees(R.align_union(j.join(top_consistent(spark, d), ["cohort", "clone_id"], "left_semi")), ["cohort", "clone_id"], "junction", "sequence_id")
 
 
 QUERIES = {
