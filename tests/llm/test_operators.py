@@ -117,6 +117,22 @@ def test_encoding_round_trip(spark, chunk, overlap):
     assert tokens.encode(df.limit(0), "doc", "body").count() == 0
 
 
+@needs_files
+def test_repeated_and_null_ids_on_both_sides_of_a_chunk(spark):
+    """One row per input row with the ids of its own text, whether texts are cut into chunks or not."""
+    long = "Die Klone der Maus 7 wurden gezählt, 1.234 an der Zahl. " * 20
+    other = "x" * 500 + " " + long[7:]
+    rows = [(1, long), (1, long), (2, long), (2, other), (3, "ab c"), (3, "ab c"), (None, long), (None, "d"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc long, body string").withColumn("h", F.lit(1)).withColumn("chunk", F.lit(1))
+    e = tokens.encoding()
+    want = sorted((repr(k), e.encode_ordinary(t or "")) for k, t in rows)
+    for chunk, overlap in ((100, 20), (16_384, 1_024)):
+        got = sorted((repr(r["doc"]), list(r["ids"])) for r in tokens.encode(df, "doc", "body", chunk=chunk, overlap=overlap).collect())
+        assert got == want
+        n = {r["doc"]: r["tokens"] for r in tokens.count_tokens(df, "doc", "body", chunk=chunk, overlap=overlap).collect()}
+        assert n == {k: max(len(e.encode_ordinary(t or "")) for j, t in rows if j == k) for k in {k for k, _ in rows}}
+
+
 # ---- packing
 
 
