@@ -292,3 +292,25 @@ def test_matches_against_brute_force(spark):
     assert {(r["l"], r["r"]) for r in m} == want and len(m) == len(want) and len(want) > 60
     assert all(0 < r["confidence"] < 1 for r in m)
     assert entity_match.matches(lf.limit(0), rf).count() == 0 and entity_match.matches(lf, rf.limit(0)).count() == 0
+
+
+def test_rows_of_a_key_that_differ_each_take_part(spark):
+    """A right key with two rows matches by either, never by a mixture of both; the strongest rule counts."""
+    left = [("x", "ARAAAAAAA", None, "IGHV1", "IGHJ4"), ("y", "ARDYWGQGT", None, "IGHV9", "IGHJ4"), ("x", "ARAAAAAAA", None, "IGHV1", "IGHJ4"), ("z", "CCCCCCC", None, "V", "J")]
+    right = [("A", "ARDYWGQGT", None, "IGHV9", None), ("A", "ARAAAAAAA", None, "IGHV1", "IGHJ4"), ("B", "CCCCCCC", None, "W", "J"), ("B", "CCCCCCC", None, "W", "K"), (None, "CCCCCCC", None, "V", "J")]
+    schema = "{0} string, short string, long string, n1 string, n2 string"
+    m = entity_match.matches(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")))
+    assert sorted((r["l"], r["r"], r["rule"]) for r in m.collect()) == [("x", "A", 1), ("y", "A", 2), ("z", "B", 2)]
+
+
+def test_confidence_describes_the_rows_given(spark):
+    """Unchecked rows get the rule's share of agreeing long texts, checked ones that of agreeing names."""
+    rng = random.Random(11)
+    vh = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60)) for _ in range(4)]
+    left = [(f"l{i}", f"ARSTVWY{x}", vh[i] if i < 3 else None, "V", "J") for i, x in enumerate("DEFG")]
+    right = [(f"r{i}", f"ARSTVWY{x}", vh[i] if i != 2 else vh[3], "V", "J") for i, x in enumerate("DEFG")]
+    schema = "{0} string, short string, long string, n1 string, n2 string"
+    m = entity_match.matches(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")))
+    one = {(r["l"], r["r"]): r["confidence"] for r in m.collect() if r["rule"] == 1}
+    # of three joined pairs with both long texts two agree; the third is not given
+    assert one == {("l0", "r0"): (2 + 1) / (2 + 2), ("l1", "r1"): (2 + 1) / (2 + 2), ("l3", "r3"): (2 + 1) / (3 + 2)}
