@@ -304,7 +304,7 @@ def test_rows_of_a_key_that_differ_each_take_part(spark):
 
 
 def test_confidence_describes_the_rows_given(spark):
-    """Unchecked rows get the rule's share of agreeing long texts, checked ones that of agreeing names."""
+    """Unchecked rows get the rule's share of agreeing long texts; checked ones all agree."""
     rng = random.Random(11)
     vh = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60)) for _ in range(4)]
     left = [(f"l{i}", f"ARSTVWY{x}", vh[i] if i < 3 else None, "V", "J") for i, x in enumerate("DEFG")]
