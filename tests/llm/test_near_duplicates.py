@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vdjlake.llm import near_duplicates as N
 
@@ -126,6 +127,82 @@ def test_hot_family_and_long_texts(spark):
     assert frozenset({"l1", "l2"}) in got and max(map(len, got)) == 120
 
 
+def _rows(keys, hi=None, block=None):
+    """Sorted rows as the walk gets them: every text a group of its own."""
+    n = len(keys)
+    key, hi = np.array(keys, dtype=np.uint64), np.array(hi if hi is not None else [0] * n, dtype=np.uint64)
+    zero = np.zeros(n, dtype=np.int64)
+    return [zero, np.array(block) if block is not None else zero, zero, key, hi, np.zeros(n, dtype=np.uint64), np.arange(n), np.arange(n), np.ones(n, dtype=bool)]
+
+
+def _found(parts):
+    return {tuple(p) for x in parts for p in x.tolist()}
+
+
+def test_regions_are_compared_whole_and_cost_no_square():
+    """A region has all its pairs; what shares everything costs its size times a constant, and stays connected."""
+    cols = _rows(sorted([1] * 5 + [2 << 40] * 30 + [3 << 40] * 60))
+    assert _found(N._regions(cols, 24, 128)) >= {(i, j) for lo, hi in ((0, 5), (5, 35), (35, 95)) for i in range(lo, hi) for j in range(i + 1, hi)}
+    n = 20_000
+    pairs = _found(N._regions(_rows([7] * n), 24, 128))
+    assert len(pairs) < 26 * n and {(0, i) for i in range(1, n)} <= pairs
+    split = _found(N._regions(_rows([7] * 300, hi=[i // 100 << 48 for i in range(300)]), 24, 128))
+    assert {(i, j) for g in range(3) for i in range(100 * g, 100 * g + 100) for j in range(i + 1, 100 * g + 100)} <= split
+
+
+def test_walk_in_chunks_finds_what_one_chunk_finds():
+    """The walk holds one chunk and its overlap, and loses no pair at the borders."""
+    import functools
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort((rng.integers(0, 40, 5000).astype(np.uint64) << np.uint64(40)) | (rng.integers(0, 9, 5000).astype(np.uint64) << np.uint64(16)))
+    cols = _rows(key)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 500].view(np.int64) if c.dtype == np.uint64 else c[i : i + 500]) for c in cols], names=[f"c{k}" for k in range(9)]) for i in range(0, 5000, 500)]
+    find = functools.partial(N._regions, leaf=24, wide=128)
+    walk = lambda chunk: {(a, b) for r in N._harvest(iter(batches), find, 128, chunk) for a, b in zip(*(c.to_pylist() for c in r.columns))}
+    assert walk(700) >= walk(10**9)
+
+
+def test_hot_prefixes_are_spread_without_loss(spark):
+    """With a tiny bound the exchange key gets deeper; regions stay whole."""
+    rng = random.Random(19)
+    base = "".join(rng.choice("ACGT") for _ in range(60))
+    texts = sorted({base[:40] + edited(rng, base[40:], 2) for _ in range(300)})
+    df = spark.createDataFrame([(i, 5, False, True, t) for i, t in enumerate(texts)], "rep long, block long, protein boolean, open boolean, text string").withColumn("grp", F.col("rep"))
+    import functools
+
+    trees = tuple(range(20))
+    find = functools.partial(N._regions, leaf=24, wide=128)
+    hot = N._hot(df, trees, N.TREES, 40, 1)
+    assert hot and all(d < N.DEPTH for _, _, d, _ in hot)
+    a = {tuple(r) for r in N._candidates(df, trees, find, hot=40, sample=1).collect()}
+    b = {tuple(r) for r in N._candidates(df, trees, find).collect()}
+    assert len(a & b) >= 0.97 * len(b)  # all but neighbours that share no region, at the borders
+    assert len(b) > 300
+
+
+def test_rows_of_a_key_that_differ_are_one_record(spark):
+    rng = random.Random(21)
+    x, y = ("".join(rng.choice("ACGT") for _ in range(60)) for _ in range(2))
+    rows = [("a", "c", "V", x, None), ("b", "c", "V", edited(rng, x, 2), None), ("b", "c", "V", edited(rng, y, 2), None), ("d", "c", "V", y, None), ("e", "c", "W", y, None)]
+    assert groups(spark, rows) == {frozenset("abd")}
+
+
+def test_filters_lose_few_linked_pairs():
+    """The sketch lets linked pairs through whatever the kind of their edits."""
+    rng = random.Random(23)
+    for letters, protein, n in (("ACGT", False, (45, 75)), ("ACDEFGHIKLMNPQRSTVWY", True, (14, 24))):
+        for edits in (1.0, 0.6):
+            a = ["".join(rng.choice(letters) for _ in range(rng.randint(*n))) for _ in range(500)]
+            b = [edited(rng, x, int(edits * N.allowed(len(x))), letters=letters) for x in a]
+            _, sa = N.signatures(a, protein, 0)
+            _, sb = N.signatures(b, protein, 0)
+            kept = N._similar(sa[:, 0], sa[:, 1], sb[:, 0], sb[:, 1], np.zeros(500, dtype=bool))
+            assert kept.mean() > 0.9, (protein, edits, kept.mean())
+
+
 def test_empty(spark):
     assert groups(spark, []) == set()
 

@@ -8,24 +8,30 @@ window (texts that differ by insertions and losses agree there).
 
 Candidates are neighbours in these orders with the longest common prefix: the
 depth is chosen per region, as the shortest prefix that at most ``LEAF`` texts
-share, and all texts of such a region are candidates of each other. Where more
-texts share even the whole signature, all of those that are not grouped yet are
-compared as well. A 128-bit sketch of each text drops candidates that share
-next to nothing, before the exact check.
+share, and all texts of such a region are candidates of each other. A region that
+shares a whole signature may have ``WIDE`` texts; where more do, the depth goes on
+over the elements of a 128-bit sketch, and texts that share even all of that are
+compared with their neighbours and with the first of them, so no region costs more
+than its size times ``WIDE``. The sketch also drops candidates that share next to
+nothing, before the exact check.
 
 The exact check is the edit distance in which a replaced, inserted or lost
 letter is one edit, and so are two neighbouring stretches of at most ``STRETCH``
 letters that change places. It runs in steps: the plain edit distance inside the
 JVM, and the distance with moves for the pairs beyond it which share as many
-grams as pairs must that are edited so often, two of the edits being moves.
+grams as pairs must that are edited so often, ``moves`` of the edits being moves
+(``moves=None`` checks all of them).
 
 Groups are found in two passes: the first compares direct neighbours of a few
 orders and merges what it finds; the second emits only candidates that lie in
 different groups, so a large family of near copies costs rows, not pairs.
 
 Work per text is fixed: a row of 49 bytes per tree goes through one exchange keyed
-by tree, block and first signature element, so one block with a third of all
-texts is spread over many tasks.
+by tree, block and first signature element. Elements that a sample of a large block
+shows to be shared by more than ``HOT`` texts are taken together with the next one,
+and so on: such a prefix has far more texts than a region, so no region is split. The
+sorted rows are walked in chunks that overlap by the largest region, so a task holds
+one chunk, however many texts share a prefix.
 
 Defined cases: null texts take no part; texts of six letters or fewer have only
 equal partners; copies are grouped without comparison; empty tables give empty
@@ -45,18 +51,24 @@ from pyspark.sql import functions as F
 from vdjlake.llm.components import components
 from vdjlake.session import discard, shuffle_partitions, table
 
-#: Orders of each kind: sampled letters, windows; for texts of proteins, whose letters tell more, only the first ones.
-TREES = (8, 8)
-PROTEIN_TREES = (4, 4)
+#: Orders of each kind: sampled letters, windows.
+TREES = (10, 10)
+#: Of these, the ones whose direct neighbours are compared first.
+FIRST = (4, 3)
 #: Elements of a signature, a byte each.
 DEPTH = 6
-#: Texts of a region that are all compared.
-LEAF = 24
+#: Texts of a region that are all compared; the same for a region that shares a whole signature.
+LEAF, WIDE = 24, 128
+#: Texts of a block and prefix that one task may sort; more are spread by a longer prefix. One in ``SAMPLE`` tells.
+HOT, SAMPLE = 1_000_000, 64
 #: Letters of a stretch that may change places with its neighbour as one edit.
 STRETCH = 9
 #: Largest part of the longer text that may be edited.
 EDITS = 0.15
+#: Moves among the edits of a pair that the gram filter lets through; None for all.
+MOVES = 2
 #: Lengths up to which short grams are used, and from which long ones; between them both.
+#: Linked texts always share a kind: 0.85 of a length above 236 is above 170.
 SHORT_UPTO, LONG_FROM = 236, 170
 
 
@@ -108,7 +120,7 @@ def _letters(a: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarra
     return a[np.arange(len(length))[:, None], np.clip(at, 0, length[:, None] - 1).astype(np.int64)]
 
 
-def signatures(texts: list[str], protein: bool, family: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: list[str], protein: bool, family: int, kinds: tuple[int, int] = TREES) -> tuple[np.ndarray, np.ndarray]:
     """(keys: rows x trees as uint64, sketch: rows x 2 as uint64) of texts of similar length."""
     raw = [t.encode("ascii", "replace") for t in texts]
     length = np.array([len(r) for r in raw])
@@ -119,7 +131,7 @@ def signatures(texts: list[str], protein: bool, family: int) -> tuple[np.ndarray
     g = _grams(a, q)
     size = length - q + 1
     width = np.minimum(np.maximum((7 if protein else 13), length // 4), size)
-    letters, windows = TREES
+    letters, windows = kinds
     per = 2 if protein else 3
     rng = np.random.default_rng(11)
     keys = np.zeros((len(raw), letters + windows), dtype=np.uint64)
@@ -157,12 +169,20 @@ def signatures(texts: list[str], protein: bool, family: int) -> tuple[np.ndarray
     return keys, np.stack([hi, lo], axis=1)
 
 
-_ROW = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("first", pa.int32()), ("key", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("rep", pa.int64()), ("grp", pa.int64()), ("open", pa.bool_())])
-_ROW_DDL = "tree int, block long, first int, key long, hi long, lo long, rep long, grp long, open boolean"
+_ROW = pa.schema([("tree", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("key", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("rep", pa.int64()), ("grp", pa.int64()), ("open", pa.bool_())])
+_ROW_DDL = "tree int, block long, first long, key long, hi long, lo long, rep long, grp long, open boolean"
 
 
-def _plant(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """A row per text and tree. Columns in: rep, grp, block, protein, open, text."""
+def _plant(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...], kinds: tuple[int, int], hot: tuple[tuple[int, int, int, int], ...] = ()) -> Iterator[pa.RecordBatch]:
+    """A row per text and tree. Columns in: rep, grp, block, protein, open, text.
+
+    ``hot`` lists (tree, block, elements, prefix) whose texts are spread by one element more.
+    """
+    more: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+    for tree, b, depth, prefix in hot:
+        of = more.setdefault((tree, b), {})
+        of[depth] = np.append(of.get(depth, np.zeros(0, dtype=np.uint64)), np.uint64(prefix))
+    hot_blocks = {b for _, b in more}
     for b in batches:
         rep, grp, block, protein, open_ = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         texts = b.column(5).to_pylist()
@@ -178,16 +198,23 @@ def _plant(batches: Iterator[pa.RecordBatch], trees: tuple[int, ...]) -> Iterato
                     p = pick[lo:hi]
                     p = p[length[p] <= max(64, 2 * length[p[0]])]
                     lo += len(p)
-                    keys, sketch = signatures([texts[i] for i in p], kind, family)
+                    keys, sketch = signatures([texts[i] for i in p], kind, family, kinds)
                     for t in trees:
-                        if kind and (t if t < TREES[0] else t - TREES[0]) >= PROTEIN_TREES[t >= TREES[0]]:
-                            continue
-                        k = keys[:, t]
+                        k, tree = keys[:, t], t + 100 * family + 1000 * kind
+                        first = (k >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
+                        for at in hot_blocks.intersection(block[p].tolist()) if hot_blocks else ():
+                            deeper = block[p] == at
+                            for d in range(1, DEPTH):
+                                prefix = k >> np.uint64(8 * (DEPTH - d))
+                                deeper = deeper & np.isin(prefix, more.get((tree, at), {}).get(d, np.zeros(0, dtype=np.uint64)))
+                                if not deeper.any():
+                                    break
+                                first[deeper] = ((k[deeper] >> np.uint64(8 * (DEPTH - d - 1))) + np.uint64(d << 48)).astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(np.full(len(p), t + 100 * family + 1000 * kind, dtype=np.int32)),
+                                pa.array(np.full(len(p), tree, dtype=np.int32)),
                                 pa.array(block[p]),
-                                pa.array((k >> np.uint64(8 * (DEPTH - 1))).astype(np.int32)),
+                                pa.array(first),
                                 pa.array(k.astype(np.int64)),
                                 pa.array(sketch[:, 0].view(np.int64)),
                                 pa.array(sketch[:, 1].view(np.int64)),
@@ -213,7 +240,7 @@ def _similar(hi_a, lo_a, hi_b, lo_b, long) -> np.ndarray:
     left = 16 - np.bitwise_count(y >> np.uint64(32)).astype(np.int16)
     right = 16 - np.bitwise_count(y & np.uint64(0xFFFFFFFF)).astype(np.int16)
     both = left + right
-    return (windows >= np.where(long, 4, 6)) | ((windows >= 5) & (both >= 15)) | (left >= 12) | (right >= 12) | (both >= 20)
+    return (windows >= np.where(long, 4, 5)) | (left >= 11) | (right >= 11) | (both >= 19)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -237,47 +264,64 @@ def _neighbours(cols: list[np.ndarray], reach: int) -> Iterator[np.ndarray]:
         yield _pairs(cols, i, i + o)
 
 
-def _regions(cols: list[np.ndarray], leaf: int) -> Iterator[np.ndarray]:
-    """All rows of each region: the shortest prefix that at most ``leaf`` rows share."""
-    tree, block, key = cols[0], cols[1], cols[3]
-    n = len(tree)
-    yield from _neighbours(cols, 2)
+def _depths(cols: list[np.ndarray]) -> Iterator[tuple[bool, np.ndarray]]:
+    """(whole signature, whether a row shares the prefix of the row before), deeper and deeper: elements of the key, then of the sketch."""
+    tree, block, key, hi, lo = cols[0], cols[1], cols[3], cols[4], cols[5]
     same = (tree[1:] == tree[:-1]) & (block[1:] == block[:-1])
-    left = np.ones(n, dtype=bool)
     for d in range(1, DEPTH + 1):
         prefix = key >> np.uint64(8 * (DEPTH - d))
-        start = np.concatenate([[True], ~(same & (prefix[1:] == prefix[:-1]))])
-        number = np.cumsum(start) - 1
+        yield d == DEPTH, same & (prefix[1:] == prefix[:-1])
+    same &= key[1:] == key[:-1]
+    for word in (hi, lo):
+        for shift in (48, 32, 16, 0):
+            prefix = word >> np.uint64(shift)
+            yield True, same & (prefix[1:] == prefix[:-1])
+        same &= word[1:] == word[:-1]
+
+
+def _regions(cols: list[np.ndarray], leaf: int, wide: int) -> Iterator[np.ndarray]:
+    """All rows of each region: the shortest prefix that at most ``leaf`` rows share, or ``wide`` from the whole signature on."""
+    grp, n = cols[7], len(cols[0])
+    yield from _neighbours(cols, 2)
+    left = np.ones(n, dtype=bool)
+    number = np.zeros(n, dtype=np.int64)
+    for whole, shares in _depths(cols):
+        number = np.cumsum(np.concatenate([[True], ~shares])) - 1
         size = np.bincount(number)
-        fits = left & (size[number] <= leaf)
-        at = np.flatnonzero(fits)
+        most = wide if whole else leaf
+        fits = left & (size[number] <= most)
+        at = np.flatnonzero(fits)  # regions are whole: either all of their rows fit or none
+        left &= ~fits
         if len(at):
-            r = number[at]  # regions are whole: either all of their rows fit or none
-            for o in range(1, min(leaf, len(at))):
+            # regions of one group need no comparison
+            r = number[at]
+            low, high = np.full(r.max() + 1, np.iinfo(np.int64).max), np.full(r.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(low, r, grp[at])
+            np.maximum.at(high, r, grp[at])
+            mixed = (low != high)[r]
+            at, r = at[mixed], r[mixed]
+            for o in range(1, min(most, len(at))):
                 i = np.flatnonzero(r[o:] == r[:-o])
                 if not len(i):
                     break
                 yield _pairs(cols, at[i], at[i + o])
-        left &= ~fits
-    at = np.flatnonzero(left)  # more than ``leaf`` rows share the whole signature
-    if len(at):
-        r, grp = number[at], cols[7][at]
-        order = np.lexsort((grp, r))
-        at, r, grp = at[order], r[order], grp[order]
-        low, high = np.full(r.max() + 1, np.iinfo(np.int64).max), np.full(r.max() + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, r, grp)
-        np.maximum.at(high, r, grp)
-        mixed = (low != high)[r]
-        at, r = at[mixed], r[mixed]
-        for o in range(1, len(at)):
-            i = np.flatnonzero(r[o:] == r[:-o])
-            if not len(i):
-                break
-            yield _pairs(cols, at[i], at[i + o])
-
-
-def _harvest(batches: Iterator[pa.RecordBatch], find, chunk: int = 80_000) -> Iterator[pa.RecordBatch]:
-    """Walks the sorted rows in chunks that end where a tree, block and first element end."""
+        if not left.any():
+            return
+    at = np.flatnonzero(left)  # more than ``wide`` rows share all there is: neighbours, and the first of them
+    r = number[at]
+    first = np.concatenate([[True], r[1:] != r[:-1]])
+    yield _pairs(cols, at[first][np.cumsum(first) - 1], at)
+    for o in range(1, min(leaf, len(at))):
+        i = np.flatnonzero(r[o:] == r[:-o])
+        yield _pairs(cols, at[i], at[i + o])
+
+
+def _harvest(batches: Iterator[pa.RecordBatch], find, overlap: int, chunk: int = 80_000) -> Iterator[pa.RecordBatch]:
+    """Walks the sorted rows in chunks of bounded size that overlap by ``overlap`` rows.
+
+    A region of up to ``overlap`` rows lies wholly in one chunk. At the border of a chunk a
+    prefix seems to have fewer rows than it has, so more pairs are compared there, never fewer.
+    """
     held: list[list[np.ndarray]] = []
     rows = 0
 
@@ -289,6 +333,8 @@ def _harvest(batches: Iterator[pa.RecordBatch], find, chunk: int = 80_000) -> It
 
     def columns(b: pa.RecordBatch) -> list[np.ndarray]:
         c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+        c.pop(2)
+        c.insert(2, c[0])  # the exchange key is needed no more
         for i in (3, 4, 5):
             c[i] = c[i].view(np.uint64)
         return c
@@ -300,25 +346,34 @@ def _harvest(batches: Iterator[pa.RecordBatch], find, chunk: int = 80_000) -> It
         rows += b.num_rows
         if rows >= chunk:
             cols = [np.concatenate(c) for c in zip(*held)]
-            ends = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-            cut = np.flatnonzero(ends)
-            if len(cut):
-                cut = int(cut[-1]) + 1
-                yield from found([c[:cut] for c in cols])
-                held, rows = [[c[cut:] for c in cols]], rows - cut
-            else:
-                held = [cols]
-                chunk *= 2
+            yield from found(cols)
+            held, rows = [[c[-overlap:] for c in cols]], min(overlap, rows)
     if rows:
         yield from found([np.concatenate(c) for c in zip(*held)])
 
 
-def _candidates(reps: DataFrame, trees: tuple[int, ...], find) -> DataFrame:
+def _hot(reps: DataFrame, trees: tuple[int, ...], kinds: tuple[int, int], hot: int, sample: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(tree, block, elements, prefix) shared by more than ``hot`` texts, as one text in ``sample`` tells; it steers the exchange only.
+
+    The list has at most ``DEPTH`` times (rows / ``hot``) entries for each tree.
+    """
+    large = reps.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block")
+    if not large.take(1):
+        return ()
+    some = reps.join(F.broadcast(large), "block", "left_semi").where(F.pmod(F.xxhash64("rep"), F.lit(sample)) == 0)
+    rows = some.select("rep", "grp", "block", "protein", "open", "text").mapInArrow(functools.partial(_plant, trees=trees, kinds=kinds), _ROW_DDL)
+    depth = F.explode(F.expr(f"sequence(1, {DEPTH - 1})"))
+    prefix = rows.select("tree", "block", "key", depth.alias("d")).groupBy("tree", "block", "d", F.expr(f"shiftrightunsigned(key, cast(8 * ({DEPTH} - d) as int))").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return tuple((r["tree"], r["block"], r["d"], r["prefix"]) for r in prefix.where(F.col("n") * sample > hot).collect())
+
+
+def _candidates(reps: DataFrame, trees: tuple[int, ...], find, kinds: tuple[int, int] = TREES, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """``a, b``: distinct candidate pairs of reps."""
-    rows = reps.select("rep", "grp", "block", "protein", "open", "text").mapInArrow(functools.partial(_plant, trees=trees), _ROW_DDL)
+    spread = _hot(reps, trees, kinds, hot, sample)
+    rows = reps.select("rep", "grp", "block", "protein", "open", "text").mapInArrow(functools.partial(_plant, trees=trees, kinds=kinds, hot=spread), _ROW_DDL)
     n = max(2 * shuffle_partitions(reps.sparkSession), 16)
-    order = rows.repartition(n, "tree", "block", "first").sortWithinPartitions("tree", "block", "key", "rep")
-    return order.mapInArrow(functools.partial(_harvest, find=find), "a long, b long").distinct()
+    order = rows.repartition(n, "tree", "block", "first").sortWithinPartitions("tree", "block", "key", "hi", "lo", "rep")
+    return order.mapInArrow(functools.partial(_harvest, find=find, overlap=WIDE), "a long, b long").distinct()
 
 
 # ---- the exact check
@@ -385,7 +440,7 @@ def moves_distance(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: i
 SHARED_GRAM = 4
 
 
-def may_mend(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: int = STRETCH, moves: int = 2) -> np.ndarray:
+def may_mend(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: int = STRETCH, moves: int = MOVES) -> np.ndarray:
     """Whether the pairs share as many grams as pairs within ``limit`` edits, of which at most ``moves`` are moves, must.
 
     k edits and m moves cut a text into at most 1 + k + 3m intact pieces with all but
@@ -412,7 +467,7 @@ def may_mend(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: int = S
 _CHECK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], stretch: int, moves: int | None) -> Iterator[pa.RecordBatch]:
     """The linked pairs of (a, b, text_a, text_b, d): plain distance found, or within the allowed edits with moves."""
     for batch in batches:
         ids_a, ids_b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -430,8 +485,8 @@ def _judge(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.Recor
                 p = order[lo : lo + max(1, min(1000, 100_000 // int(size[order[lo]])))]
                 lo += len(p)
                 limit = np.array([allowed(s) for s in size[p]])
-                if size[p[0]] >= 2 * SHARED_GRAM:
-                    p = p[may_mend([ta[i] for i in p], [tb[i] for i in p], limit, stretch)]
+                if moves is not None and size[p[0]] >= 2 * SHARED_GRAM:
+                    p = p[may_mend([ta[i] for i in p], [tb[i] for i in p], limit, stretch, moves)]
                     limit = np.array([allowed(s) for s in size[p]], dtype=np.int64)
                 if len(p):
                     d = moves_distance([ta[i] for i in p], [tb[i] for i in p], limit, stretch)
@@ -445,43 +500,46 @@ def _checked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     a = reps.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     most = f"cast(floor(greatest(length(text_a), length(text_b)) * {EDITS} + 1e-9) as int)"
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b", F.expr(f"levenshtein(text_a, text_b, {most})").alias("d"))
+    # the exchange before the exact check has a fixed number of tasks: pairs are small, but their check is not
+    n = shuffle_partitions(reps.sparkSession)
+    return pairs.join(a, "a").repartition(n, "b").join(b.repartition(n, "b"), "b").select("a", "b", "text_a", "text_b", F.expr(f"levenshtein(text_a, text_b, {most})").alias("d"))
 
 
-def near_groups(texts: DataFrame) -> DataFrame:
+def near_groups(texts: DataFrame, trees: tuple[int, int] = TREES, first: tuple[int, int] = FIRST, leaf: int = LEAF, wide: int = WIDE, moves: int | None = MOVES) -> DataFrame:
     """``rep, grp``: the group of every distinct text; rows of ``texts``: rep, block, protein, open, text.
 
     ``rep`` is a unique long, ``block`` a long within which texts are compared,
     ``protein`` chooses the gram length, ``open`` marks texts of which at least one must
     take part in a link. Texts alone have ``grp = rep``.
     """
-    letters, windows = TREES
+    letters, windows = trees
     reps = texts.withColumn("grp", F.col("rep"))
-    few = tuple(range(min(3, letters))) + tuple(range(letters, letters + min(2, windows)))
+    few = tuple(range(min(first[0], letters))) + tuple(range(letters, letters + min(first[1], windows)))
     # protein texts are compared only where the first kind is missing: the second pass will do
-    first = _checked(_candidates(reps.where(~F.col("protein")), few, functools.partial(_neighbours, reach=2)), reps).where("d >= 0")
-    groups = table(components(first, "a", "b"), "groups1")
+    nearest = _checked(_candidates(reps.where(~F.col("protein")), few, functools.partial(_neighbours, reach=2), trees), reps).where("d >= 0")
+    groups = table(components(nearest, "a", "b"), "groups1")
     grouped = table(texts.join(groups, F.col("rep") == F.col("node"), "left").select(*texts.columns, F.coalesce("component", "rep").alias("grp")), "reps1")
-    pairs = _candidates(grouped, tuple(range(letters + windows)), functools.partial(_regions, leaf=LEAF))
-    links = _checked(pairs, grouped).mapInArrow(functools.partial(_judge, stretch=STRETCH), "a long, b long")
+    pairs = _candidates(grouped, tuple(range(letters + windows)), functools.partial(_regions, leaf=leaf, wide=min(wide, WIDE)), trees)
+    links = _checked(pairs, grouped).mapInArrow(functools.partial(_judge, stretch=STRETCH, moves=moves), "a long, b long")
     of = grouped.select("rep", "grp")
     ga, gb = of.select(F.col("rep").alias("a"), F.col("grp").alias("ga")), of.select(F.col("rep").alias("b"), F.col("grp").alias("gb"))
     final = components(links.join(ga, "a").join(gb, "b").select("ga", "gb"), "ga", "gb")
-    out = of.join(final, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp"))
-    discard(groups)
+    out = table(of.join(final, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("grp")), "near")
+    discard(groups, grouped)
     return out
 
 
-def near_duplicates(records: DataFrame, key: str, block: list[str], text: str, other: str | None = None) -> DataFrame:
+def near_duplicates(records: DataFrame, key: str, block: list[str], text: str, other: str | None = None, **forest) -> DataFrame:
     """``group_id, <key>``: records of groups of two or more, with the group's smallest key.
 
     Records of equal ``block`` columns are linked when their ``text`` (or, where
     either lacks it, their ``other``) agrees in at least 85 % of the longer one;
-    groups are closed under links.
+    groups are closed under links. Rows of one key that differ each take part and are
+    one record. ``forest`` sets the parameters of :func:`near_groups`.
     """
     cols = [F.col(key).alias("k"), F.xxhash64(*block).alias("block"), F.col(text).alias("x"), (F.col(other) if other else F.lit(None).cast("string")).alias("y")]
     rec = records.where(" and ".join(f"`{c}` is not null" for c in [key, *block])).select(*cols).where("x is not null or y is not null")
-    rec = table(rec.groupBy("k").agg(F.min("block").alias("block"), F.max("x").alias("x"), F.max("y").alias("y")), "records")
+    rec = table(rec.distinct(), "records")
     xs = rec.where("x is not null").select("block", F.lit(False).alias("protein"), F.col("x").alias("text"), F.lit(True).alias("open"))
     ys = rec.where("y is not null").select("block", F.lit(True).alias("protein"), F.col("y").alias("text"), F.col("x").isNull().alias("open"))
     texts = xs.unionByName(ys).groupBy("block", "protein", "text").agg(F.max("open").alias("open"))
@@ -490,13 +548,17 @@ def near_duplicates(records: DataFrame, key: str, block: list[str], text: str, o
     # a text of the second kind is a node only where a record without the first kind has it
     home = lambda c, kind: texts.where(F.col("protein") == kind).select(F.col("block").alias("bl"), F.col("text").alias("tx"), F.col("rep").alias(c), F.col("open").alias(f"{c}_open"))
     rec_x = rec.join(home("rx", False), (F.col("block") == F.col("bl")) & (F.col("x") == F.col("tx")), "left").drop("bl", "tx")
-    rec_y = table(rec_x.join(home("ry", True), (F.col("block") == F.col("bl")) & (F.col("y") == F.col("tx")), "left").drop("bl", "tx"), "homes")
-    near = table(near_groups(texts), "near")
+    rec_y = rec_x.join(home("ry", True), (F.col("block") == F.col("bl")) & (F.col("y") == F.col("tx")), "left")
+    rec_y = table(rec_y.select("k", "rx", "ry", "ry_open"), "homes")
+    discard(rec)
+    near = near_groups(texts, **forest)
     # groups of second-kind texts with an open member: all their records are linked to it
     ny = near.select(F.col("rep").alias("ry"), F.col("grp").alias("gy"))
     nx = near.select(F.col("rep").alias("rx"), F.col("grp").alias("gx"))
-    full = rec_y.select("k", "rx", "ry", "ry_open").join(nx, "rx", "left").join(ny, "ry", "left")
-    return _settle(full, texts, near, key)
+    full = table(rec_y.join(nx, "rx", "left").join(ny, "ry", "left").select("k", "gx", "gy"), "full")
+    out = table(_settle(full, texts, near, key), "groups")
+    discard(rec_y, near, texts, full)
+    return out
 
 
 def _settle(full: DataFrame, texts: DataFrame, near: DataFrame, key: str) -> DataFrame:
@@ -507,8 +569,11 @@ def _settle(full: DataFrame, texts: DataFrame, near: DataFrame, key: str) -> Dat
     live = linked.where("live").select(F.col("grp").alias("gy"))
     y = full.where("gy is not null").join(live, "gy", "left_semi")
     bridge = y.where("gx is not null").select(F.col("gx").alias("a"), F.col("gy").alias("b")).distinct()
-    over = components(bridge, "a", "b")
-    grp = F.when(F.col("gx").isNotNull(), F.col("gx")).otherwise(F.col("gy"))
-    named = full.select("k", grp.alias("g")).join(over, F.col("g") == F.col("node"), "left").select("k", F.coalesce("component", "g").alias("g"))
+    grp = F.coalesce("gx", "gy")
+    # rows of one key that differ are one record: its groups are one
+    several = full.groupBy("k").agg(F.min(grp).alias("a"), F.max(grp).alias("high")).where("a <> high").select("k", "a")
+    same = full.select("k", grp.alias("b")).join(several, "k").where("a <> b").select("a", "b")
+    over = components(bridge.unionByName(same).distinct(), "a", "b")
+    named = full.select("k", grp.alias("g")).join(over, F.col("g") == F.col("node"), "left").select("k", F.coalesce("component", "g").alias("g")).distinct()
     least = named.groupBy("g").agg(F.min("k").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "group_id")
     return named.join(least, "g").select("group_id", F.col("k").alias(key))
