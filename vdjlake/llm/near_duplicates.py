@@ -388,51 +388,64 @@ def moves_distance(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: i
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     top_a, top_b = int(la.max()), int(lb.max())
     wide = band + stretch
-    xa = np.frombuffer(b"".join(x.ljust(top_a, b"\0") for x in a), dtype=np.uint8).reshape(n, top_a)
-    pad = np.full((n, wide + top_a + wide + top_b + 1), 1, dtype=np.uint8)  # matches no letter of a
-    pad[:, wide : wide + top_b] = np.frombuffer(b"".join(x.ljust(top_b, b"\1") for x in b), dtype=np.uint8).reshape(n, top_b)
-    big = np.uint16(10_000)
+    # pairs lie along the last axis, so that shifting a diagonal moves whole rows of memory
+    xa = np.ascontiguousarray(np.frombuffer(b"".join(x.ljust(top_a, b"\0") for x in a), dtype=np.uint8).reshape(n, top_a).T)
+    pad = np.full((wide + top_a + wide + top_b + 1, n), 1, dtype=np.uint8)  # matches no letter of a
+    pad[wide : wide + top_b] = np.frombuffer(b"".join(x.ljust(top_b, b"\1") for x in b), dtype=np.uint8).reshape(n, top_b).T
+    kind = np.uint8 if top_a + top_b < 200 else np.uint16
+    big = kind(250 if kind is np.uint8 else 10_000)
     w, v = 2 * band + 1, 2 * wide + 1
-    offs = np.arange(-band, band + 1)
-    runs = [np.zeros((n, v), dtype=np.uint8)]
-    dist = [np.where(offs >= 0, offs, big).astype(np.uint16)[None, :].repeat(n, axis=0)]
-    result = np.full(n, big)
+    offs = np.arange(-band, band + 1)[:, None]
+    runs = [np.zeros((v, n), dtype=np.uint8)]
+    dist = [np.where(offs >= 0, offs, big).astype(kind).repeat(n, axis=1)]
+    least = [dist[0].min(axis=0)]
+    result = np.full(n, 10_000, dtype=np.int64)
     rows = np.arange(n)
     for i in range(top_a + 1):
-        if i > 2 * stretch and i % 6 == 0:
-            # all that a later row can come from is beyond the limit
-            alive = np.min([x.min(axis=1) for x in dist], axis=0) <= limit
-            if alive.sum() <= 0.7 * len(rows):
+        if i > stretch and i % 4 == 0:
+            # a later row comes from this one, or by a move from one of the rows before
+            alive = (least[-1] <= limit) | (np.min(least[:-1], axis=0) < limit)
+            if alive.sum() <= 0.8 * len(rows):
                 if not alive.any():
                     break
-                rows, la, lb, limit, xa, pad = rows[alive], la[alive], lb[alive], limit[alive], xa[alive], pad[alive]
-                dist, runs = [x[alive] for x in dist], [x[alive] for x in runs]
+                rows, la, lb, limit, xa, pad = rows[alive], la[alive], lb[alive], limit[alive], xa[:, alive], pad[:, alive]
+                least = [x[alive] for x in least]
+                dist, runs = [np.ascontiguousarray(x[:, alive]) for x in dist], [np.ascontiguousarray(x[:, alive]) for x in runs]
         if i:
-            eq = xa[:, i - 1 : i] == pad[:, i - 1 : i - 1 + v]  # b[j-1] for j = i + o, o from -wide
-            run = np.where(eq, np.minimum(runs[-1], 250) + 1, 0).astype(np.uint8)
+            eq = xa[i - 1] == pad[i - 1 : i - 1 + v]  # b[j-1] for j = i + o, o from -wide
+            run = (np.minimum(runs[-1], 250) + 1) * eq
             runs.append(run)
             before = dist[-1]
-            cost = before + np.where(eq[:, stretch : stretch + w], 0, 1).astype(np.uint16)
-            cost[:, :-1] = np.minimum(cost[:, :-1], before[:, 1:] + 1)
-            for p in range(1, stretch + 1):
-                end_b = run[:, stretch - p : stretch - p + w]
-                for q in range(1, stretch + 1):
-                    if p + q > i:
-                        break
-                    hit = (runs[-1 - q][:, stretch + q : stretch + q + w] >= p) & (end_b >= q)
-                    if hit.any():
-                        cost = np.where(hit, np.minimum(cost, dist[-p - q] + 1), cost)
-            cost[:, i + offs < 0] = big
-            cost = (np.minimum.accumulate(cost.astype(np.int32) - offs, axis=1) + offs).astype(np.uint16)
+            cost = before + (~eq[stretch : stretch + w]).astype(kind)
+            np.minimum(cost[:-1], before[1:] + 1, out=cost[:-1])
+            # for each q, the cells of a from which a stretch before its last q letters can have come
+            ends = [run >= q for q in range(stretch + 1)]
+            flat = cost.ravel()  # a view
+            for q in range(1, min(stretch, i - 1) + 1):
+                moved = runs[-1 - q][stretch + q : stretch + q + w]
+                for p in range(1, min(stretch, i - q) + 1):
+                    hit = moved >= p
+                    hit &= ends[q][stretch - p : stretch - p + w]
+                    at = np.flatnonzero(hit)
+                    if len(at):
+                        flat[at] = np.minimum(flat[at], dist[-p - q].ravel()[at] + 1)
+            cost[i + offs[:, 0] < 0] = big
+            # a lost letter of a: the least of the cells before plus their distance
+            low = cost[0]
+            for o in range(1, w):
+                low = np.minimum(low + 1, cost[o], out=cost[o])
+            np.minimum(cost, big, out=cost)
             dist.append(cost)
-            if len(dist) > 2 * stretch + 1:
+            least.append(cost.min(axis=0))
+            if len(dist) > 2 * stretch:
                 dist.pop(0)
                 runs.pop(0)
+                least.pop(0)
         done = np.flatnonzero(la == i)
         if len(done):
             o = lb[done] - i + band
             ok = (o >= 0) & (o < w)
-            result[rows[done[ok]]] = dist[-1][done[ok], o[ok]]
+            result[rows[done[ok]]] = dist[-1][o[ok], done[ok]]
     return result
 
 
@@ -450,18 +463,18 @@ def may_mend(a: list[bytes], b: list[bytes], limit: np.ndarray, stretch: int = S
     n, q = len(a), SHARED_GRAM
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     top = int(max(la.max(), lb.max()))
-    code = lambda xs, fill: _grams(np.frombuffer(b"".join(x.ljust(top, fill) for x in xs), dtype=np.uint8).reshape(n, top), q)
-    ga, gb = code(a, b"\0").astype(np.uint32), code(b, b"\1").astype(np.uint32)
+    code = lambda xs, fill: np.ascontiguousarray(_grams(np.frombuffer(b"".join(x.ljust(top, fill) for x in xs), dtype=np.uint8).reshape(n, top), q).T)
+    ga, gb = code(a, b"\0"), code(b, b"\1")
     reach = moves * stretch + int(limit.max())
-    wide = np.zeros((n, ga.shape[1] + 2 * reach), dtype=np.uint32)
-    wide[:, reach : reach + gb.shape[1]] = gb
+    wide = np.zeros((ga.shape[0] + 2 * reach, n), dtype=np.uint32)
+    wide[reach : reach + gb.shape[0]] = gb
     hit = np.zeros(ga.shape, dtype=bool)
     for o in range(2 * reach + 1):
-        hit |= ga == wide[:, o : o + ga.shape[1]]
-    hit &= np.arange(ga.shape[1])[None, :] <= (la - q)[:, None]
+        hit |= ga == wide[o : o + ga.shape[0]]
+    hit &= np.arange(ga.shape[0])[:, None] <= la - q
     k = limit - moves
     least = np.maximum(la, lb) - limit - (q - 1) * (1 + k + 3 * moves)
-    return hit.sum(axis=1) >= least
+    return hit.sum(axis=0) >= least
 
 
 _CHECK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -482,7 +495,7 @@ def _judge(batches: Iterator[pa.RecordBatch], stretch: int, moves: int | None) -
             order = order[enough[order]]
             lo = 0
             while lo < len(order):
-                p = order[lo : lo + max(1, min(1000, 100_000 // int(size[order[lo]])))]
+                p = order[lo : lo + max(1, min(2000, 200_000 // int(size[order[lo]])))]
                 lo += len(p)
                 limit = np.array([allowed(s) for s in size[p]])
                 if moves is not None and size[p[0]] >= 2 * SHARED_GRAM:
