@@ -136,9 +136,9 @@ def brute_components(edges):
 def test_connected(spark, edges):
     df = spark.createDataFrame(edges + [(None, 3), (4, None)], "a long, b long")
     assert sorted(tuple(r) for r in components.connected(df).collect()) == brute_components(edges)
-    assert sorted(tuple(r) for r in components.connected(df, one_task=0).collect()) == brute_components(edges)
+    assert sorted(tuple(r) for r in components.connected(df.repartition(7)).collect()) == brute_components(edges)
     texts = df.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b"))
-    assert sorted(map(tuple, components.connected(texts).collect())) == sorted(map(tuple, components.connected(texts, one_task=0).collect()))
+    assert sorted(map(tuple, components.connected(texts).collect())) == sorted(map(tuple, components.connected(texts.repartition(5)).collect()))
 
 
 def test_hamming_pairs(spark):
@@ -209,7 +209,7 @@ def test_nearest_distance_has_no_cut(spark, rows, monkeypatch):
             d = [sum(x != y for x, y in zip(t, u)) for c2, v2, u, _ in data if (c2, v2, len(u)) == (c, v, len(t)) and u != t]
             want[k] = min(d) / len(t) if d else None
     assert want["far1"] == 1.0 and None in want.values()
-    monkeypatch.setattr(clones, "_junctions", lambda spark, d: df)
+    monkeypatch.setattr(clones, "_called", lambda spark, d: df.withColumn("j", F.lit("J1")))
     for tile in (4096, 7):
         monkeypatch.setattr(lineages, "TILE", tile)
         got = dict(rows(clones.nearest_distance(spark, "")))
@@ -370,3 +370,69 @@ def test_density_curve(spark):
     assert {r["label"]: r["threshold"] for r in lineages.thresholds(df, "d", "label", fixed={"u": 0.2}).collect()}["u"] == 0.2
     with pytest.raises(ValueError):
         lineages.thresholds(df, "d", "label", fixed={"u": 2})
+
+
+def test_connected_across_tasks(spark):
+    """Edges of long chains in many tasks: the contraction of a task leaves rounds to do."""
+    import random
+
+    from vdjlake.operators import components
+
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(400)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(220)]
+    rng.shuffle(chain)
+    df = spark.createDataFrame(chain, "a long, b long").repartition(16)
+    assert sorted(tuple(r) for r in components.connected(df).collect()) == brute_components(chain)
+
+
+def brute_linkage(texts, threshold, how):
+    """Merges the two nearest clusters, by the mean or largest distance of their members, until they are too far apart."""
+    d = lambda a, b: sum(x != y for x, y in zip(a, b)) / len(a)
+    groups = [[i] for i in range(len(texts))]
+    while len(groups) > 1:
+        far = lambda p, q: (max if how == "complete" else lambda v: sum(v) / len(v))([d(texts[i], texts[j]) for i in p for j in q])
+        least, i, j = min((round(far(groups[i], groups[j]), 12), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        if least > threshold + 1e-12:
+            break
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def test_linkage_against_brute_force():
+    import random
+
+    import numpy as np
+
+    from vdjlake.operators import lineages
+
+    rng = random.Random(31)
+    for how in ("average", "complete"):
+        for _ in range(12):
+            base = ["".join(rng.choice("ACGT") for _ in range(97)) for _ in range(3)]
+            texts = []
+            for b in base:
+                for _ in range(rng.randint(2, 6)):
+                    t = list(b)
+                    for k in rng.sample(range(97), rng.randint(1, 14)):
+                        t[k] = rng.choice("ACGT")
+                    texts.append("".join(t))
+            lab = lineages._linkage(texts, 0.2, how)
+            got = {frozenset(np.flatnonzero(lab == x).tolist()) for x in set(lab.tolist())}
+            assert got == brute_linkage(texts, 0.2, how)
+
+
+def test_linkage_refuses_what_one_task_cannot_hold():
+    from vdjlake.operators import lineages
+
+    with pytest.raises(ValueError, match="texts"):
+        lineages._linkage(["ACGT"] * 30, 0.1, "average", most=20)
+
+
+def test_ambiguous_calls(spark):
+    """Genes that any row of a scope lists together are one; without a list a gene is its own."""
+    from vdjlake.operators import lineages
+
+    rows = [("c", "r1", "IGHV1-2*01,IGHV1-3*01"), ("c", "r2", "ighv1-3*02"), ("c", "r3", "IGHV4-4*01, IGHV1-3"), ("c", "r4", "IGHV9*01"), ("d", "r5", "IGHV1-3*01"), ("c", "r6", None), (None, "r7", "IGHV1-2"), ("d", "r8", " ")]
+    df = spark.createDataFrame(rows, "scope string, k string, call string").withColumn("gene", F.lit("x"))
+    got = {(r["scope"], r["k"]): r["v"] for r in lineages.gene_groups(df, ["scope"], "call", "v").collect()}
+    assert got == {("c", "r1"): "IGHV1-2", ("c", "r2"): "IGHV1-2", ("c", "r3"): "IGHV1-2", ("c", "r4"): "IGHV9", ("d", "r5"): "IGHV1-3", ("c", "r6"): None, (None, "r7"): "IGHV1-2", ("d", "r8"): None}

@@ -1,13 +1,12 @@
 """Connected components by spreading the least label, with jumps along labels.
 
-Used for the library's own graphs (clones, lineages, cohort clusters). Each
-round every node takes the least label of itself and its neighbours, then the
-label of its label; the jumps make long chains settle in a logarithmic number
-of rounds. Each round is written to the shared folder and read back.
-
-A graph whose counted edges fit one task (``ONE_TASK``) is solved there by
-union-find with the same result; rounds of jobs over a few thousand edges would
-cost more than the edges do.
+Used for the library's own graphs (clones, lineages, cohort clusters). Before
+the first exchange each task contracts its edges: chunk by chunk a union-find
+replaces them by one edge from each node to the least node it reaches there, so
+dense groups send nodes and not edges. Then rounds over what is left: every node
+takes the least label of itself and its neighbours, then the label of its label;
+the jumps make long chains settle in a logarithmic number of rounds. Each round is
+written to the shared folder and read back. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -21,17 +20,13 @@ from pyspark.sql import functions as F
 
 from vdjlake.session import discard, table
 
-#: Edges up to which one task solves the graph.
-ONE_TASK = 200_000
+#: Edges that a task contracts at once.
+CHUNK = 200_000
 
 
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    x, y = (c.combine_chunks() for c in t.columns)
-    nodes, number = np.unique(np.concatenate([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)]), return_inverse=True)
+def spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches) of the edges x - y."""
+    nodes, number = np.unique(np.concatenate([x, y]), return_inverse=True)
     up = list(range(len(nodes)))  # numbers follow the order of the nodes
 
     def find(i: int) -> int:
@@ -47,21 +42,37 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[j] = i
         elif j < i:
             up[i] = j
-    roots = np.array([find(i) for i in range(len(nodes))])
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, type=x.type), pa.array(nodes[roots], type=x.type)], names=["node", "component"])
+    return nodes, nodes[[find(i) for i in range(len(nodes))]]
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        x, y = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(2))
+        nodes, roots = spanning(x, y)
+        kind = held[0].schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array(nodes, type=kind), pa.array(roots, type=kind)], names=["x", "y"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= chunk:
+            yield done()
+            held = []
+    if held:
+        yield done()
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """``node, component``: every node of an edge with the least node of its component.
 
     Null ends are left out; a self link makes a component of one.
     """
-    e = table(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct(), "graph")
-    kind = dict(e.dtypes)["x"]
-    if e.count() <= one_task:
-        return e.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}")
-    both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    both = table(both, "graph")
+    kind = dict(edges.dtypes)[a]
+    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    stars = table(e.mapInArrow(_contract, f"x {kind}, y {kind}"), "graph")
+    both = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
     labels = table(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
@@ -70,13 +81,12 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 20
         nxt = table(spread.join(hop, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) != F.col("label")).alias("moved")), "labels")
         discard(labels)
         labels = nxt.select("node", "label")
-        moved = nxt.where("moved").limit(1).count()
-        last = nxt
-        if not moved:
+        labels._vdjlake_path = nxt._vdjlake_path
+        if not nxt.where("moved").limit(1).count():
             break
-        labels._vdjlake_path = last._vdjlake_path
     else:
         raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+    discard(stars)
     return labels.select("node", F.col("label").alias("component"))
 
 

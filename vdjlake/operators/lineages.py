@@ -122,7 +122,8 @@ def nearest_distance(df: DataFrame, block: list[str], text: str, key: str, withi
     that join settles the texts with a near neighbour, and only the others are
     compared with all texts of their block and length.
     """
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key]))
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key])).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(block)], F.col(text).alias("__text"), F.col(key).alias("__key"))
+    block, text, name, key = [f"__b{i}" for i in range(len(block))], "__text", key, "__key"
     texts = rows.select(*block, F.col(text).alias("t")).distinct().withColumn("n", F.length("t")).where("n > 0")
     part = within if within < 1 else NEAR
     named = texts.withColumn("k", F.concat_ws("\u0001", *block, "t"))
@@ -132,7 +133,7 @@ def nearest_distance(df: DataFrame, block: list[str], text: str, key: str, withi
     if within >= 1:
         near = table(near, "near")
         near = near.unionByName(_least_of_block(texts, texts.join(near, [*block, "t"], "left_anti"), block))
-    return rows.select(*block, F.col(text).alias("t"), key).join(near, [*block, "t"], "left").select(key, (F.col("d") / F.length("t")).alias("nearest"))
+    return rows.select(*block, F.col(text).alias("t"), key).join(near, [*block, "t"], "left").select(F.col(key).alias(name), (F.col("d") / F.length("t")).alias("nearest"))
 
 
 def _least_of_block(texts: DataFrame, open_: DataFrame, block: list[str]) -> DataFrame:
@@ -165,6 +166,25 @@ def _least_of_block(texts: DataFrame, open_: DataFrame, block: list[str]) -> Dat
     return a.unionByName(b).groupBy(*on, "i", "j").applyInArrow(least, schema).groupBy(*block, "t").agg(F.min("d").alias("d"))
 
 
+def gene_groups(df: DataFrame, scope: list[str], calls: str, out: str) -> DataFrame:
+    """Rows with ``out``: the least gene that stands for all genes which rows of the scope list together, directly or in turn.
+
+    ``calls`` is a list of gene calls, separated by commas, in any notation. A row with one gene that no
+    list connects keeps it; a row without a call has null; a row with a null in ``scope`` its first gene.
+    """
+    genes = df.withColumn("__g", F.filter(F.transform(F.split(F.col(calls), ","), lambda c: F.regexp_extract(F.upper(F.trim(c)), r"^([^*(\s]+)", 1)), lambda g: g != ""))
+    first = genes.where(" and ".join(["size(__g) > 1", *[f"`{c}` is not null" for c in scope]])).select(*scope, F.col("__g")[0].alias("g0"), F.explode("__g").alias("g")).distinct()
+    key = lambda g: F.to_json(F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(scope)], g.alias("g")))
+    edges = first.select(key(F.col("g0")).alias("a"), key(F.col("g")).alias("b"))
+    parts = connected(edges)
+    named = first.select(*scope, "g").distinct().withColumn("__n", key(F.col("g"))).join(parts, F.col("__n") == F.col("node")).select(*scope, "g", "component")
+    least = named.groupBy(*scope, "component").agg(F.min("g").alias("least"))
+    table_ = named.join(least, [*scope, "component"]).select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(scope)], F.col("g").alias("__g0"), "least")
+    on = [F.col(c) == F.col(f"__s{i}") for i, c in enumerate(scope)] + [F.get("__g", F.lit(0)) == F.col("__g0")]
+    joined = genes.join(table_, on, "left")
+    return joined.withColumn(out, F.coalesce("least", F.get("__g", F.lit(0)))).drop("__g", "__g0", "least", *[f"__s{i}" for i in range(len(scope))])
+
+
 def single_link_clones(df: DataFrame, block: list[str], text: str, key: str, threshold: float) -> DataFrame:
     """``key, clone``: single-linkage clones at a normalised Hamming distance of at most ``threshold``.
 
@@ -178,29 +198,55 @@ def single_link_clones(df: DataFrame, block: list[str], text: str, key: str, thr
     return rows.select(*block, text, key).join(parts.select(*block, text, "component"), [*block, text]).select(key, F.col("component").alias("clone"))
 
 
-def _linkage(texts: list[str], threshold: float, how: str) -> np.ndarray:
-    """Cluster numbers of average or complete linkage cut at a distance, by merging the nearest two."""
+#: Texts of one component that a task can link: its distances take 4 bytes for each two of them.
+MOST_LINKED = 20_000
+
+
+def _linkage(texts: list[str], threshold: float, how: str, most: int = MOST_LINKED) -> np.ndarray:
+    """Cluster numbers of average or complete linkage cut at a distance, by merging the nearest two, the first of equally near ones.
+
+    Every row keeps its nearest later row, so a merge looks again only at rows whose nearest has changed.
+    """
     n = len(texts)
-    a = np.array([np.frombuffer(t.encode(), np.uint8) for t in texts])
-    d = np.empty((n, n))
-    for i in range(n):
-        d[i] = (a != a[i]).mean(axis=1)
-    np.fill_diagonal(d, np.inf)
+    if n > most:
+        raise ValueError(f"{how} linkage of {n} texts in one component; a task holds {most}: use single linkage or a smaller threshold")
+    a = np.array([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts])
+    d = np.full((n, n), np.inf, dtype=np.float32 if n > 4_000 else np.float64)
+    for i in range(n - 1):
+        d[i, i + 1 :] = (a[i + 1 :] != a[i]).mean(axis=1)
+        d[i + 1 :, i] = d[i, i + 1 :]
     size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    near, far = np.zeros(n, dtype=np.int64), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        if i + 1 < n:
+            near[i] = i + 1 + int(np.argmin(d[i, i + 1 :]))
+            far[i] = d[i, near[i]]
+
+    for i in range(n):
+        look(i)
     for _ in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > threshold + 1e-12:
+        i = int(np.argmin(far))
+        j = int(near[i])
+        if far[i] > threshold + (1e-12 if d.dtype == np.float64 else 1e-6):
             break
-        i, j = min(i, j), max(i, j)
         row = np.maximum(d[i], d[j]) if how == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        alive[j] = False
         row[i] = np.inf
+        row[~alive] = np.inf
         d[i], d[:, i] = row, row
         d[j], d[:, j] = np.inf, np.inf
-        d[i, ~alive] = d[~alive, i] = np.inf
         size[i] += size[j]
-        alive[j] = False
-        d[i, j] = d[j, i] = np.inf
         label[label == j] = i
+        far[j] = np.inf
+        # rows before i may have i as their nearest now; those whose nearest was i or j look again
+        early = np.arange(n) < i
+        closer = early & alive & ((row < far) | ((row == far) & (i < near)))
+        again = np.flatnonzero(alive & ((near == i) | (near == j)) & ~closer & (np.arange(n) != i))
+        near[closer], far[closer] = i, row[closer]
+        for k in again:
+            look(int(k))
+        look(i)
     return label
 
 

@@ -24,6 +24,12 @@ def _junctions(spark: SparkSession, d: str) -> DataFrame:
     return c.where("sequence_id is not null").dropDuplicates(["sequence_id"]).withColumn("n", F.length("junction"))
 
 
+def _called(spark: SparkSession, d: str) -> DataFrame:
+    """The records of :func:`_junctions` with the J gene of their sequence."""
+    j = read(spark, d, "sequences").where("id is not null").groupBy(F.col("id").alias("sequence_id")).agg(F.max(clean.gene("j_gene")).alias("j"))
+    return _junctions(spark, d).join(j, "sequence_id", "left")
+
+
 def clone_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Most frequent V, J and CDR3 of each clone and timepoint."""
     return C.clone_profiles(seqs(spark, d), SC)
@@ -88,18 +94,24 @@ def exact_cluster_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def single_link_clones(spark: SparkSession, d: str) -> DataFrame:
-    """Clones of the junctions of a V gene at 10 % of the length."""
-    return C.single_link_clones(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id", 0.10)
+    """Clones of the junctions of a V and J gene at 10 % of the length."""
+    return C.single_link_clones(_called(spark, d), ["cohort", "v", "j"], "junction", "sequence_id", 0.10)
 
 
 def linkage_clones(spark: SparkSession, d: str) -> DataFrame:
     """The same by average linkage."""
-    return C.linkage_clones(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id", 0.10, "average")
+    return C.linkage_clones(_called(spark, d), ["cohort", "v", "j"], "junction", "sequence_id", 0.10, "average")
+
+
+def gene_groups(spark: SparkSession, d: str) -> DataFrame:
+    """V genes of clone_pass, those that records of a cohort list together being one."""
+    c = read(spark, d, "clone_pass").select(clean.record_id("sequence_id").alias("sequence_id"), F.col("cohort_name").alias("cohort"), clean.present("v_call").alias("v_call")).where("sequence_id is not null").dropDuplicates(["sequence_id"])
+    return C.gene_groups(c, ["cohort"], "v_call", "v").select("sequence_id", "v")
 
 
 def nearest_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Least distance to another junction of the V gene and length, null where there is none."""
-    return C.nearest_distance(_junctions(spark, d), ["cohort", "v"], "junction", "sequence_id")
+    """Least distance to another junction of the V gene, J gene and length, null where there is none."""
+    return C.nearest_distance(_called(spark, d), ["cohort", "v", "j"], "junction", "sequence_id")
 
 
 def distance_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clone_profiles, lineage_edges, lineage_ids, lineage_summary, global_clone_ids, cohort_rollup, cohort_edges, cohort_clusters, cluster_rollup, cluster_cohort_top, exact_cluster_sets,
-        single_link_clones, linkage_clones, nearest_distance, distance_histogram, distance_thresholds, distance_density, cluster_sheet, leader_clusters, cluster_sharing, embedding_clusters,
+        single_link_clones, linkage_clones, gene_groups, nearest_distance, distance_histogram, distance_thresholds, distance_density, cluster_sheet, leader_clusters, cluster_sharing, embedding_clusters,
         top_clones, vh_matches, cdr3_matches, match_stats, identity_bands, match_stats_by_timepoint, content_counts, top_consistent, clone_trees,
     )
 }
@@ -211,6 +223,8 @@ _J = f"""jn AS (SELECT *, length(junction) AS n FROM (SELECT sid AS sequence_id,
   any_value(nullif(regexp_replace(upper(CASE WHEN lower(trim(junction)) NOT IN {MISSING} THEN junction END), '[^A-Z]', '', 'g'), '')) AS junction, any_value(dist_nearest) AS dist_nearest, any_value(clone_id) AS clone_id
   FROM (SELECT *, CASE WHEN starts_with(trim(sequence_id), 'reversed|') THEN trim(substr(trim(sequence_id), 10)) ELSE trim(sequence_id) END AS sid FROM clone_pass) y WHERE sid <> '' GROUP BY sid) x)"""
 
+_JJ = f"{_J}, jg AS (SELECT id, max({gene_sql('j_gene')}) AS j FROM sequences WHERE id IS NOT NULL GROUP BY id), jj AS (SELECT jn.*, jg.j FROM jn LEFT JOIN jg ON jg.id = jn.sequence_id)"
+
 
 def _mode(c: str) -> str:
     return f"m_{c} AS (SELECT cohort, timepoint, clone_id, {c} FROM (SELECT cohort, timepoint, clone_id, {c}, row_number() OVER (PARTITION BY cohort, timepoint, clone_id ORDER BY count(*) DESC, {c}) AS r FROM s WHERE clone_id IS NOT NULL AND {c} IS NOT NULL GROUP BY 1, 2, 3, 4) x WHERE r = 1)"
@@ -264,12 +278,20 @@ SELECT sequence_id, CAST(clone_id + shift AS BIGINT) AS global_clone FROM s LEFT
     "cluster_rollup": f"WITH RECURSIVE {_CL} SELECT cluster, (SELECT string_agg(c, '|' ORDER BY c) FROM (SELECT DISTINCT cohort AS c FROM mem m2 WHERE m2.cluster = mem.cluster) x) AS cohorts, count(*) AS clones, CAST(sum(rows) AS BIGINT) AS rows, count(DISTINCT cdr3) AS cdr3s FROM mem GROUP BY cluster",
     "cluster_cohort_top": f"WITH RECURSIVE {_CL}, n AS (SELECT cluster, cohort, cdr3, sum(rows) AS n FROM mem GROUP BY 1, 2, 3) SELECT cluster, cohort, CAST(sum(n) AS BIGINT) AS rows, (array_agg(cdr3 ORDER BY n DESC, cdr3))[1] AS top_cdr3 FROM n GROUP BY 1, 2",
     "exact_cluster_sets": f"WITH RECURSIVE {_CL} SELECT cluster, count(*) AS clones FROM mem GROUP BY 1 HAVING count(DISTINCT cohort) = 2 AND bool_and(cohort IN ('prime_boost', 'knockin_b7'))",
-    "single_link_clones": f"""WITH RECURSIVE {_J}, u AS (SELECT cohort, v, junction, min(sequence_id) AS rep FROM jn WHERE cohort IS NOT NULL AND v IS NOT NULL AND junction IS NOT NULL GROUP BY 1, 2, 3),
-e AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND length(a.junction) = length(b.junction) AND a.rep < b.rep AND hamming(a.junction, b.junction) <= floor(0.10 * length(a.junction) + 1e-9)), {_closure('e')}
-SELECT jn.sequence_id, coalesce(comp.component, u.rep) AS clone FROM jn JOIN u ON u.cohort = jn.cohort AND u.v = jn.v AND u.junction = jn.junction LEFT JOIN comp ON comp.node = u.rep""",
-    "nearest_distance": f"""WITH {_J}, u AS (SELECT DISTINCT cohort, v, junction FROM jn WHERE cohort IS NOT NULL AND v IS NOT NULL AND junction IS NOT NULL),
-m AS (SELECT a.cohort, a.v, a.junction, min(hamming(a.junction, b.junction)) AS d FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND length(a.junction) = length(b.junction) AND a.junction <> b.junction WHERE hamming(a.junction, b.junction) <= floor(0.1 * length(a.junction) + 1e-9) GROUP BY 1, 2, 3)
-SELECT jn.sequence_id, m.d / CAST(length(jn.junction) AS DOUBLE) AS nearest FROM jn LEFT JOIN m ON m.cohort = jn.cohort AND m.v = jn.v AND m.junction = jn.junction WHERE jn.cohort IS NOT NULL AND jn.v IS NOT NULL AND jn.junction IS NOT NULL""",
+    "single_link_clones": f"""WITH RECURSIVE {_JJ}, u AS (SELECT cohort, v, j, junction, min(sequence_id) AS rep FROM jj WHERE cohort IS NOT NULL AND v IS NOT NULL AND j IS NOT NULL AND junction IS NOT NULL GROUP BY 1, 2, 3, 4),
+e AS (SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND a.j = b.j AND length(a.junction) = length(b.junction) AND a.rep < b.rep AND hamming(a.junction, b.junction) <= floor(0.10 * length(a.junction) + 1e-9)), {_closure('e')}
+SELECT jj.sequence_id, coalesce(comp.component, u.rep) AS clone FROM jj JOIN u ON u.cohort = jj.cohort AND u.v = jj.v AND u.j = jj.j AND u.junction = jj.junction LEFT JOIN comp ON comp.node = u.rep""",
+    "nearest_distance": f"""WITH {_JJ}, u AS (SELECT DISTINCT cohort, v, j, junction FROM jj WHERE cohort IS NOT NULL AND v IS NOT NULL AND j IS NOT NULL AND junction IS NOT NULL),
+m AS (SELECT a.cohort, a.v, a.j, a.junction, min(hamming(a.junction, b.junction)) AS d FROM u a JOIN u b ON a.cohort = b.cohort AND a.v = b.v AND a.j = b.j AND length(a.junction) = length(b.junction) AND a.junction <> b.junction GROUP BY 1, 2, 3, 4)
+SELECT jj.sequence_id, m.d / CAST(length(jj.junction) AS DOUBLE) AS nearest FROM jj LEFT JOIN m ON m.cohort = jj.cohort AND m.v = jj.v AND m.j = jj.j AND m.junction = jj.junction WHERE jj.cohort IS NOT NULL AND jj.v IS NOT NULL AND jj.j IS NOT NULL AND jj.junction IS NOT NULL""",
+    "gene_groups": f"""WITH RECURSIVE r AS (SELECT sid AS sequence_id, any_value(cohort_name) AS cohort, any_value(CASE WHEN lower(trim(v_call)) NOT IN {MISSING} THEN trim(v_call) END) AS c
+  FROM (SELECT *, CASE WHEN starts_with(trim(sequence_id), 'reversed|') THEN trim(substr(trim(sequence_id), 10)) ELSE trim(sequence_id) END AS sid FROM clone_pass) y WHERE sid <> '' GROUP BY sid),
+x AS (SELECT sequence_id, cohort, list_filter(list_transform(string_split(c, ','), lambda t: regexp_extract(upper(trim(t)), '^([^*(\\s]+)', 1)), lambda g: g <> '') AS gs FROM r),
+p AS (SELECT DISTINCT cohort, gs[1] AS g, unnest(gs) AS h FROM x WHERE len(gs) > 1 AND cohort IS NOT NULL),
+sym AS (SELECT cohort, g, h FROM p UNION SELECT cohort, h, g FROM p),
+reach AS (SELECT cohort, g AS node, g AS root FROM sym UNION SELECT sym.cohort, sym.h, reach.root FROM reach JOIN sym ON sym.cohort = reach.cohort AND sym.g = reach.node),
+comp AS (SELECT cohort, node, min(root) AS least FROM reach GROUP BY 1, 2)
+SELECT sequence_id, coalesce(comp.least, gs[1]) AS v FROM x LEFT JOIN comp ON comp.cohort = x.cohort AND comp.node = x.gs[1]""",
     "distance_histogram": f"WITH {_J}, v AS (SELECT cohort, CAST(least(floor(dist_nearest * 50), 49) AS INT) AS bin FROM jn WHERE dist_nearest > 0 AND dist_nearest <= 1 AND NOT isnan(dist_nearest)) SELECT cohort, bin, bin / 50.0 AS low, count(*) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY cohort) AS DOUBLE) * 50 AS density FROM v GROUP BY cohort, bin",
     "top_clones": f"WITH {_TOP} SELECT * FROM top",
     "vh_matches": f"WITH {_TOP}, {_VH} SELECT * FROM hv",
