@@ -220,16 +220,71 @@ def test_subjects(spark):
     held_out = range(60, 240)
     assert np.mean([got.get(i, set()) == truth[i] for i in held_out]) >= 0.95
     assert not any(i in got for i in range(900, 907))
-    assert subjects.subjects_of(d, labels.limit(0), names, rounds=1).count() == 0
-    assert subjects.subjects_of(d.limit(0), labels, names, rounds=1).count() == 0
+    assert subjects.subjects_of(d, labels.limit(0), names).count() == 0
+    assert subjects.subjects_of(d.limit(0), labels, names).count() == 0
 
 
-def test_sentences():
-    text = '{"entry": 5, "body": "One thing. Two things!"}'
-    assert subjects.sentences(text) == ["One thing.", "Two things!"]
-    assert subjects.sentences("<p>One​ thing.</p>\n<p>Two.</p>") == ["One thing.", "Two."]
-    assert subjects.sentences("12. first point -> this\r\n- second: that\n\n99.") == ["first point -> this", "second: that"]
-    assert subjects.sentences("") == [] and subjects.terms("ACGTACGTACGTACGT") == []
+def split(text):
+    """Lower-case words of each sentence, read back through their hashes."""
+    h, sentence, _ = subjects.words([text])
+    names = {int(subjects.words([w])[0][0]): w for w in WORDS}
+    out: dict = {}
+    for x, s in zip(h, sentence):
+        out.setdefault(int(s), []).append(names.get(int(x), "?"))
+    return [" ".join(x) for x in out.values()]
+
+
+WORDS = "one two thing things point this that first second entry body the äpfel é don t geprüft 中 文".split()
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("One thing. Two things!", ["one thing", "two things"]),
+        ('{"entry": 5, "body": "One thing. Two things!"}', ["entry body one thing", "two things"]),
+        ("<p>One\u200b thing.</p>\n<p class='a'>Two.</p>", ["one thing", "two"]),
+        ("12. first point -> this\r\n- second: that\n\n99.", ["first point this", "second that"]),
+        ("One thing\\nTwo things (this.) That", ["one thing", "two things this", "that"]),
+        ("one thing - two things  that", ["one thing", "two things", "that"]),
+        ("ÄPFEL a\u0308pfel A\u0308PFEL É é geprÃ¼ft", ["äpfel äpfel äpfel é é geprüft"]),
+        ("ACGTACGTACGTACGT CARDYWGQGTLVTVSS one", ["one"]),
+        ("Don\u2019t \u201ctwo\u201d &amp; 中文", ["don t two 中 文"]),
+        ("", []),
+        (None, []),
+        ("12 -- %", []),
+    ],
+)
+def test_words(text, want):
+    assert split(text) == want
+
+
+def test_words_of_many_texts():
+    """Sentences and texts are numbered through, whatever lies between."""
+    texts = ["One. Two.", None, "", "thing", "12", "that. " * 3]
+    h, sentence, text = subjects.words(texts)
+    assert text.tolist() == [0, 0, 3, 5, 5, 5] and len(set(sentence.tolist())) == 6
+    assert len({int(x) for x in h}) == 4 and h[2] != h[3] == h[4] == h[5]
+    assert len(subjects.words([None, ""])[0]) == 0
+    long = "word " * 50_000 + "x" * 200_000
+    assert len(subjects.words([long])[0]) == 50_001
+
+
+def test_mixtures_are_a_fixed_point():
+    """The updates end where one more of them, over all components, changes nothing."""
+    rng = np.random.default_rng(2)
+    terms, k, n = 40, 3, 25
+    anchor = rng.integers(-1, k, terms)
+    uses = rng.uniform(5, 50, terms)
+    held = np.where(anchor >= 0, uses * rng.uniform(0.5, 1, terms), 0)
+    h = subjects.Parts(anchor, held, uses, k)
+    x = rng.poisson(1.0, (n, terms)).astype(float)
+    row, term = np.nonzero(x)
+    w, _ = h.mixtures(row, n, term, x[row, term])
+    full = np.zeros((k + 1, terms))
+    full[anchor[anchor >= 0], np.flatnonzero(anchor >= 0)] = h.own[anchor >= 0]
+    full[k] = h.back
+    again = w * ((x / np.maximum(w @ full, 1e-300)) @ full.T)
+    assert np.abs(again - w).sum() < 5e-3 * x.sum() and np.allclose(w.sum(axis=1), x.sum(axis=1))
 
 
 # ---- entity matching

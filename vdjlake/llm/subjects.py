@@ -1,28 +1,37 @@
 """Subject areas of documents by seeded non-negative factorisation.
 
-The document-term matrix X (words and word pairs, hashed into ``TERMS`` columns)
-is factored into W (documents x components) and H (components x terms) by
-alternating multiplicative updates for the Kullback-Leibler divergence. The
-first components are anchored: component k is seeded with the terms that
-documents labelled with subject k use more than the rest, and keeps only those
-terms and unclaimed terms that it explains for the most part; a background is
-seeded with what all documents of a language use. A row of W is thus the document's subject
-mixture.
-
-Each sentence is then given to the subject that explains most of its terms
-under the document's own mixture - a mention of another subject weighs little
-there - or to none, if the background explains it. A document is about a subject
-when at least ``least_share`` of its sentences are.
-
-Only H and its numerators reach the driver: at most components x ``TERMS``
-numbers, whatever the corpus. W is computed where the documents are and never
-kept. Label statistics use all labelled documents.
+The document-term matrix X (words and pairs of neighbouring words) is factored into
+W (documents x components) and H (components x terms) by alternating multiplicative
+updates for the Kullback-Leibler divergence. The first components are anchored, one
+for each subject; the last is a background. Anchors are seeded with the terms that
+documents labelled with a subject use more than the rest. From then on all documents
+decide: given H, the rows of W are updated until they settle; a term is an anchor of
+the subject that the documents using it are mostly about, by their rows of W, if that
+subject holds at least ``OWN`` of its use, and the background explains the rest of its
+use; all other terms belong to the background. W and H alternate until the anchors
+settle. A row of W is thus the document's subject mixture.
+
+An anchored term has two components only, its subject and the background, so an
+update costs one number per cell of the matrix and not one per component.
+
+A sentence gets its row of the factorisation under its document's mixture: what its
+terms send to each subject, weighed by the subject's part in the document, so a
+mention of another subject weighs little. It is on the subject with the largest value,
+or on none if its subjects together explain less than ``SURE`` of one term. A document
+is about a subject when at least ``least_share`` of its sentences on any subject are:
+greetings, thanks, footers and raw sequences are on none and count for none.
+
+Each text is read once, in batches of bytes; all later passes work on numbered terms.
+What reaches the driver is the vocabulary - terms of at least ``LEAST_DOCS`` documents
+and ``LEAST_PART`` of all - with one number per subject, whatever the corpus. Seeds
+come from at most ``LABELLED`` labelled documents; everything else from all documents.
 
 Defined cases: null, empty and wordless texts, and texts without a sentence on
 any subject have no row; raw sequences are no words; mark-up, letter case, odd
-blanks and decomposed accents are evened out; repeated documents get equal
-subjects; labels of unknown documents or subjects are left out; without any
-label no document has a subject.
+blanks, decomposed accents and doubly encoded ones are evened out; letters of scripts
+without blanks are words of their own; a text of any length is read whole; repeated
+documents get equal subjects; labels of unknown documents or subjects are left out;
+without any label no document has a subject.
 """
 
 from __future__ import annotations
@@ -30,257 +39,391 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vdjlake.session import discard, table
 
-#: Columns of the document-term matrix.
-TERMS = 1 << 17
-#: Alternations of W and H, and updates of W in each.
-ROUNDS, INNER = 3, 8
-#: A sentence's first terms weigh 1 + EARLY, its last 1 - EARLY: what it is about comes before what it mentions.
-EARLY = 0.2
+#: A term of the vocabulary is in so many documents, and in such a part of all documents, at least.
+LEAST_DOCS, LEAST_PART = 3, 1e-5
+#: Labelled documents, chosen by hash, from which anchors are seeded.
+LABELLED = 200_000
+#: Part of a term's use that its subject must hold; of a seed, when all subjects' labelled documents count alike.
+OWN = 0.5
 #: Added to a subject's part of the document before it weighs a sentence's terms.
 PRIOR = 0.05
+#: Terms that a sentence's subjects must explain together.
+SURE = 0.5
+#: W has settled when less of it changes, H when less of its anchors do; the most updates of either.
+SETTLED, MOST_UPDATES = 1e-3, 100
 #: Documents of one numeric step.
 STEP = 250
 
-_TAG = re.compile(r"<[^<>|]{1,80}>")
-_JSON = re.compile(r'^\s*\{\s*"[^"]*"\s*:\s*\d+\s*,\s*"\w+"\s*:\s*"|"\s*\}\s*$')
-_INVISIBLE = re.compile("[​‌‍­﻿]")
-_END = re.compile(r"(?<=[.!?])['\")\]]*\s+|[\r\n]+|\\r\\n|\\n|\s{2,}")
-_BULLET = re.compile(r"^(?:[-*•>#]+\s*)+|^\d+[.)]\s*")
-_ITEM = re.compile(r"\s(?=-\s[a-zà-ÿ])|\s(?=\d{1,3}\.\s+[a-zà-ÿ])")
-_RUN_ON = re.compile(r"(?<=[a-zà-ÿ)])\s(?=[A-Z][a-z]*\s[a-z])")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_RAW = re.compile(r"^(?:[ACGTUN]{12,}|[ACDEFGHIKLMNPQRSTVWY*]{16,})$")
 
+# ---- reading
 
-def plain(text: str) -> str:
+
+_INVISIBLE = re.compile("[​‌‍­⁠﻿]")
+_TAG = re.compile(r"<[A-Za-z/!][^<>]*>")
+_TWICE = re.compile("[ÂÃ][\u0080-¿]")
+
+
+def plain(text: str | None) -> str:
     """Without mark-up, invisible characters and variants of one spelling."""
-    t = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    t = _JSON.sub("", html.unescape(t)) if t.lstrip().startswith("{") else html.unescape(t)
-    return _TAG.sub("\n", t)
-
-
-def sentences(text: str) -> list[str]:
-    """Sentences of a text with at least one word; list items count as sentences."""
-    out = []
-    for s in _END.split(plain(text)):
-        for part in _ITEM.split(s.strip()):
-            item = _BULLET.match(part)
-            body = _BULLET.sub("", part.strip())
-            for piece in _RUN_ON.split(body, maxsplit=1) if item else [body]:
-                piece = piece.strip()
-                if piece and _WORD.search(piece):
-                    out.append(piece)
-    return out
+    if not text:
+        return ""
+    t = text
+    if not t.isascii():
+        if "Ã" in t or "Â" in t:  # UTF-8 read as a one-byte encoding
+            try:
+                t = t.encode("cp1252").decode("utf-8")
+            except UnicodeError:
+                t = _TWICE.sub(lambda m: m[0].encode("latin-1").decode("utf-8"), t)
+        t = _INVISIBLE.sub("", t)
+        if not unicodedata.is_normalized("NFKC", t):
+            t = unicodedata.normalize("NFKC", t)
+    if "&" in t:
+        t = html.unescape(t)
+    if "<" in t:
+        t = _TAG.sub("\n", t)
+    return t.replace("\0", " ")
+
+
+def _set(values) -> np.ndarray:
+    a = np.zeros(256, dtype=bool)
+    a[list(values)] = True
+    return a
+
+
+_LETTER = _set([*range(65, 91), *range(97, 123), *range(128, 256)])
+_BLANK, _LINE, _STOP, _CLOSE = _set(b" \t\n\r\x0b\x0c"), _set(b"\n\r\0"), _set(b".!?"), _set(b"'\")]")
+_BASES, _RESIDUES = _set(b"ACGTUN"), _set(b"ACDEFGHIKLMNPQRSTVWY*")
+_POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, sentence, text) of every word of the texts; sentences are numbered through, texts from 0.
+
+    A sentence ends at a stop before a blank, at a line's end, at two blanks or a dash between blanks.
+    """
+    b = np.frombuffer("\0".join(map(plain, texts)).encode("utf-8", "replace") + b"\0", np.uint8)
+    none = np.zeros(0, dtype=np.int64)
+    letter = _LETTER[b]
+    for lead, more in ((0xC2, 1), (0xE2, 2)):  # signs of Latin-1, punctuation
+        at = np.flatnonzero(b == lead)
+        for o in range(more + 1):
+            letter[at + o] = False
+    escaped = (b[:-1] == 92) & ((b[1:] == 110) | (b[1:] == 114))  # \n and \r as two letters
+    letter[1:][escaped] = False
+    begins = letter & ~np.concatenate([[False], letter[:-1]])
+    begins |= letter & (b >= 0xE3) & (b <= 0xED)  # scripts without blanks: each letter
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return none.astype(np.uint64), none, none
+    at = np.flatnonzero(letter)
+    first = np.searchsorted(at, start)
+    size = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    low = b.copy()
+    low[(b >= 65) & (b <= 90)] += 32
+    upper = np.flatnonzero((b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)) + 1
+    low[upper] += 32
+    h = _mixed(np.add.reduceat((low[at].astype(np.uint64) + np.uint64(1)) * _POWER[place & 0xFFFF], first))
+    raw = np.zeros(len(start), dtype=bool)
+    for i in np.flatnonzero(size >= 12):
+        w = b[start[i] : start[i] + size[i]]
+        raw[i] = _BASES[w].all() or (size[i] >= 16 and _RESIDUES[w].all())
+    blank, after = _BLANK[b], _STOP[b]
+    for _ in range(2):  # closing marks after a stop
+        after[1:] |= _CLOSE[b[1:]] & after[:-1]
+    cut = _LINE[b]
+    cut[1:] |= blank[1:] & (after[:-1] | blank[:-1])
+    cut[:-1] |= escaped
+    cut[1:-1] |= (b[1:-1] == 45) & blank[:-2] & blank[2:]
+    keep = ~raw
+    return h[keep], np.cumsum(cut)[start][keep], np.cumsum(b == 0)[start][keep]
+
+
+def _terms(h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term, sentence) of words given by sentence sizes: the words, then the pairs of neighbours."""
+    sentence = np.repeat(np.arange(len(size)), size)
+    near = np.flatnonzero(sentence[1:] == sentence[:-1])
+    pair = _mixed(h[near] * np.uint64(3) + h[near + 1])
+    return np.concatenate([h, pair]), np.concatenate([sentence, sentence[near]])
+
+
+_READ = pa.schema([("k", pa.int64()), ("labels", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+
+
+def _lists(values: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), type=pa.int32()), pa.array(values, type=kind))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, labels, text) to the words of each text and the number of words of each of its sentences."""
+    for b in batches:
+        for lo in range(0, b.num_rows, STEP):
+            part = b.slice(lo, STEP)
+            h, sentence, text = words(part.column(2).to_pylist())
+            starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.append(starts, len(h)))
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(h.view(np.int64), np.bincount(text, minlength=n), pa.int64()), _lists(size, np.bincount(text[starts], minlength=n), pa.int32())], schema=_READ)
+
+
+def _flat(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, size of each list)."""
+    return c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())
+
+
+def _cells(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, sentence, row of each sentence, words of each sentence) of read texts (.., words, sizes)."""
+    h, _ = _flat(part.column(part.num_columns - 2))
+    size, sentences = _flat(part.column(part.num_columns - 1))
+    term, sentence = _terms(h.view(np.uint64), size)
+    return term, sentence, np.repeat(np.arange(part.num_rows), sentences), size
 
 
-def terms(sentence: str) -> list[int]:
-    """Hashed words and word pairs of a sentence; raw sequences are none."""
-    words = [w.lower() for w in _WORD.findall(sentence) if not _RAW.match(w)]
-    words = [w for w in words if 1 < len(w) <= 40]
-    both = [t for a, b in zip(words, [*words[1:], None]) for t in ((a, f"{a} {b}") if b else (a,))]
-    return [zlib.crc32(t.encode()) & (TERMS - 1) for t in both]
+# ---- the vocabulary and its seeds
 
 
-_BAG = pa.schema([("k", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
+_USE = pa.schema([("t", pa.int64()), ("s", pa.int32()), ("docs", pa.int64()), ("uses", pa.float64()), ("logs", pa.float64())])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents and uses of each term: over all documents (subject -1), and over those labelled with each subject."""
     for b in batches:
-        for lo in range(0, b.num_rows, STEP):
-            part = b.slice(lo, STEP)
-            at, n = [], []
-            for text in part.column(1).to_pylist():
-                u, c = np.unique(np.array([x for s in sentences(text or "") for x in terms(s)], dtype=np.int32), return_counts=True)
-                at.append(u)
-                n.append(c.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(at, type=pa.list_(pa.int32())), pa.array(n, type=pa.list_(pa.float32()))], schema=_BAG)
-
-
-def mixtures(row: np.ndarray, n_rows: int, cols: np.ndarray, vals: np.ndarray, h: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray]:
-    """(W, responsibilities of the cells): multiplicative updates of W with H fixed."""
-    hc = np.ascontiguousarray(h.astype(np.float32, copy=False)[:, cols].T) + np.float32(1e-12)
-    vals = vals.astype(np.float32, copy=False)
-    w = np.ones((n_rows, h.shape[0]), dtype=np.float32)
-    r = hc
-    starts = np.searchsorted(row, np.arange(n_rows))
-    for _ in range(inner):
-        r = w[row] * hc
-        r *= (vals / r.sum(axis=1))[:, None]
-        if len(r):
-            w = np.add.reduceat(r, np.minimum(starts, len(r) - 1), axis=0)
-            w[np.diff(np.append(starts, len(r))) == 0] = 0
-    return w, r
-
-
-def _cells(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, n = part.column(1), part.column(2)
-    lengths = np.diff(at.offsets.to_numpy())
-    return np.repeat(np.arange(part.num_rows), lengths), at.flatten().to_numpy(), n.flatten().to_numpy().astype(np.float64)
-
-
-def _numerators(h: np.ndarray):
-    """Adds up, per term, what each component explains of the documents of a task."""
+        for lo in range(0, b.num_rows, 8 * STEP):
+            part = b.slice(lo, 8 * STEP)
+            term, sentence, row, _ = _cells(part)
+            if not len(term):
+                continue
+            t, number = np.unique(term, return_inverse=True)
+            cell, count = np.unique(number * part.num_rows + row[sentence], return_counts=True)
+            at, doc = cell // part.num_rows, cell % part.num_rows
+            label, many = _flat(part.column(1))
+            labelled = np.repeat(np.arange(part.num_rows), many)
+            for s in (-1, *np.unique(label).tolist()):
+                take = np.ones(len(cell), dtype=bool) if s < 0 else np.isin(doc, labelled[label == s])
+                docs = np.bincount(at[take], minlength=len(t))
+                some = np.flatnonzero(docs)
+                add = lambda w: np.bincount(at[take], weights=w[take], minlength=len(t))[some]
+                yield pa.RecordBatch.from_arrays([pa.array(t[some].view(np.int64)), pa.array(np.full(len(some), s, dtype=np.int32)), pa.array(docs[some], type=pa.int64()), pa.array(add(count.astype(float))), pa.array(add(np.log1p(count)))], schema=_USE)
+
+
+def vocabulary(read: DataFrame, n_subjects: int, n_docs: int) -> pd.DataFrame:
+    """Terms in order (t), with documents, uses and, for each subject k, documents (d{k}) and logarithmic uses (x{k}) among the labelled."""
+    of = lambda s, c: F.coalesce(F.sum(F.when(F.col("s") == s, F.col(c))), F.lit(0))
+    use = read.select("k", "labels", "words", "sizes").mapInArrow(_uses, "t long, s int, docs long, uses double, logs double")
+    per = use.groupBy("t").agg(of(-1, "docs").alias("docs"), of(-1, "uses").alias("uses"), of(-1, "logs").alias("logs"), *[of(k, "docs").alias(f"d{k}") for k in range(n_subjects)], *[of(k, "logs").alias(f"x{k}") for k in range(n_subjects)])
+    v = per.where(F.col("docs") >= max(LEAST_DOCS, LEAST_PART * n_docs)).toPandas()
+    return v.iloc[np.argsort(v["t"].to_numpy().view(np.uint64), kind="stable")].reset_index(drop=True)
+
+
+def seeds(v: pd.DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor of each term or -1, its weight): terms that labelled documents of a subject use more than those of the others do."""
+    if not len(v):
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    x = v[[f"x{k}" for k in range(n_subjects)]].to_numpy(float).T
+    docs = v[[f"d{k}" for k in range(n_subjects)]].to_numpy(float).T
+    back = v["logs"].to_numpy(float)
+    size = x.sum(axis=1, keepdims=True)
+    p = (x + 0.01 * back / back.sum() * size) / np.maximum(1.01 * size, 1e-12)
+    best = p.argmax(axis=0)
+    claimed = (p.max(axis=0) >= OWN * p.sum(axis=0)) & (docs.max(axis=0) >= 2)
+    return np.where(claimed, best, -1), np.where(claimed, x[best, np.arange(len(v))], 0.0)
+
+
+# ---- the factorisation
+
+
+class Parts:
+    """H: for each term its anchor (-1: none), and its shares in the anchor's component and in the background."""
+
+    def __init__(self, anchor: np.ndarray, held: np.ndarray, uses: np.ndarray, n_subjects: int, hard: bool = False):
+        self.k, self.anchor = n_subjects, anchor
+        size = np.bincount(anchor[anchor >= 0], weights=held[anchor >= 0], minlength=n_subjects)
+        rest = np.where(anchor >= 0, 0.0 if hard else np.maximum(uses - held, 0), uses)
+        self.own = np.where(anchor >= 0, held / np.maximum(size[anchor], 1e-12), 0.0)
+        self.back = rest / max(rest.sum(), 1e-12)
+
+    def mixtures(self, row: np.ndarray, n: int, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(W of n rows; what the cells send to their anchors): multiplicative updates of W until it settles."""
+        k, a = self.k, self.anchor[term]
+        at = np.flatnonzero(a >= 0)
+        total = np.bincount(row, weights=count, minlength=n)
+        r, c, slot = row[at], count[at], row[at] * k + a[at]
+        own, back = self.own[term[at]], self.back[term[at]]
+        w, b = np.ones(n * k), np.ones(n)
+        sent = np.zeros(len(at))
+        for _ in range(MOST_UPDATES):
+            mine = w[slot] * own
+            sent = c * mine / np.maximum(mine + b[r] * back, 1e-300)
+            new = np.bincount(slot, weights=sent, minlength=n * k)
+            left = total - np.bincount(r, weights=sent, minlength=n)
+            change = np.abs(new - w).sum() + np.abs(left - b).sum()
+            w, b = new, left
+            if change <= SETTLED * total.sum():
+                break
+        out = np.zeros(len(term))
+        out[at] = sent
+        return np.concatenate([w.reshape(n, k), b[:, None]], axis=1), out
+
+
+def _shares(w: np.ndarray) -> np.ndarray:
+    """Each row's parts of the subjects, without the background."""
+    s = w[:, :-1]
+    return s / np.maximum(s.sum(axis=1, keepdims=True), 1e-12)
+
+
+_NUMBERED = pa.schema([("k", pa.int64()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32())), ("at", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32()))])
+
+
+def _number(vocabulary):
+    """Texts as numbers of the vocabulary: the document's terms with counts, and each term of each sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, h.shape[0]))
+        known = vocabulary.value
         for b in batches:
             for lo in range(0, b.num_rows, STEP):
-                row, cols, vals = _cells(b.slice(lo, STEP))
-                if len(cols):
-                    _, r = mixtures(row, min(STEP, b.num_rows - lo), cols, vals, h)
-                    for k in range(h.shape[0]):
-                        total[:, k] += np.bincount(cols, weights=r[:, k], minlength=TERMS)
-        used = np.flatnonzero(total.sum(axis=1))
+                part = b.slice(lo, STEP)
+                n = part.num_rows
+                term, sentence, row, size = _cells(part)
+                number = np.minimum(np.searchsorted(known, term), len(known) - 1)
+                ok = known[number] == term
+                number, sentence = number[ok], sentence[ok]
+                doc = row[sentence]
+                order = np.argsort(doc, kind="stable")
+                number, sentence, doc = number[order], sentence[order], doc[order]
+                cell, count = np.unique(doc * len(known) + number, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _lists(cell % len(known), np.bincount(cell // len(known), minlength=n), pa.int32()), _lists(count.astype(np.float32), np.bincount(cell // len(known), minlength=n), pa.float32()), _lists(number, np.bincount(doc, minlength=n), pa.int32()), _lists(sentence, np.bincount(doc, minlength=n), pa.int32())],
+                    schema=_NUMBERED,
+                )
+
+    return run
+
+
+def _rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    term, n = _flat(part.column(part.schema.get_field_index("term")))
+    count, _ = _flat(part.column(part.schema.get_field_index("count")))
+    return np.repeat(np.arange(part.num_rows), n), term, count.astype(float)
+
+
+def _held(parts, n_terms: int):
+    """Adds up, per term and subject, the use by documents in proportion to their mixtures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = parts.value
+        total = np.zeros((h.k, n_terms))
+        for b in batches:
+            for lo in range(0, b.num_rows, 4 * STEP):
+                part = b.slice(lo, 4 * STEP)
+                row, term, count = _rows(part)
+                mix = _shares(h.mixtures(row, part.num_rows, term, count)[0])
+                for k in range(h.k):
+                    m = mix[row, k]
+                    at = np.flatnonzero(m)
+                    total[k] += np.bincount(term[at], weights=count[at] * m[at], minlength=n_terms)
+        used = np.flatnonzero(total.sum(axis=0))
         for lo in range(0, len(used), 20_000):
             u = used[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u, type=pa.int32())] + [pa.array(total[u, k]) for k in range(h.shape[0])], names=["t"] + [f"c{k}" for k in range(h.shape[0])])
+            yield pa.RecordBatch.from_arrays([pa.array(u, type=pa.int32())] + [pa.array(total[k, u]) for k in range(h.k)], names=["t"] + [f"c{k}" for k in range(h.k)])
 
     return run
 
 
-def seeds(bags: DataFrame, labels: DataFrame, subjects: list[str], languages: DataFrame | None = None, strength: float = 3.5) -> tuple[np.ndarray, np.ndarray]:
-    """(H, anchors): terms' shares per subject and in the backgrounds, and which anchor claims a term (-1: none).
-
-    ``languages`` (k, lang) gives one background component per language that
-    at least a hundredth of the documents are marked with; else there is one.
-    """
-    cells = bags.select("k", F.explode(F.arrays_zip("terms", "counts")).alias("c")).select("k", F.col("c.terms").alias("t"), F.log1p("c.counts").alias("n"))
-    marked = labels.select(F.col("doc_id").cast("long").alias("k"), "subject").where(F.col("subject").isin(subjects)).distinct()
-    per = cells.join(marked, "k").groupBy("subject", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-    every = cells.groupBy("t").agg(F.sum("n").alias("n")).toPandas()
-    spoken = []
-    if languages is not None:
-        known = languages.select("k", F.substring(F.lower(F.trim("lang")), 1, 2).alias("lang")).where("lang rlike '^[a-z]{2}$'").distinct()
-        total = known.count()
-        spoken = [r["lang"] for r in known.groupBy("lang").count().where(F.col("count") >= max(1, total // 100)).orderBy("lang").limit(16).collect()]
-        by = cells.join(known.where(F.col("lang").isin(spoken)), "k").groupBy("lang", "t").agg(F.sum("n").alias("n")).toPandas()
-    x = np.zeros((len(subjects), TERMS))
-    docs = np.zeros((len(subjects), TERMS))
-    for r in per:
-        x[subjects.index(r["subject"]), r["t"]] = r["n"]
-        docs[subjects.index(r["subject"]), r["t"]] = r["docs"]
-    back = np.zeros(TERMS)
-    back[every["t"].to_numpy()] = every["n"].to_numpy()
-    backs = [back]
-    if len(spoken) > 1:
-        backs = []
-        for lang in spoken:
-            one = by[by["lang"] == lang]
-            backs.append(np.zeros(TERMS))
-            backs[-1][one["t"].to_numpy()] = one["n"].to_numpy()
-    size = x.sum(axis=1, keepdims=True)
-    p = (x + 0.01 * back / max(back.sum(), 1) * np.maximum(size, 1)) / np.maximum(size * 1.01, 1)
-    # lift of a subject against the mean of the subjects, so that frequent ones do not claim more
-    mean = p.mean(axis=0) + 1e-12
-    lift = p / mean
-    best = lift.argmax(axis=0)
-    claimed = (lift.max(axis=0) >= strength) & (docs.max(axis=0) >= 2)
-    anchors = np.where(claimed, best, -1)
-    h = np.zeros((len(subjects) + len(backs), TERMS))
-    for k in range(len(subjects)):
-        h[k] = np.where(anchors == k, p[k], np.where(claimed, 0.0, 0.05 * p[k]))
-    for i, b in enumerate(backs):
-        h[len(subjects) + i] = np.where(claimed, 0.0, b)
-    h /= np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
-    return h, anchors
-
-
-def factor(bags: DataFrame, h: np.ndarray, anchors: np.ndarray, n_subjects: int, rounds: int = ROUNDS, own: float = 0.5) -> np.ndarray:
-    """H after ``rounds`` alternations over all documents.
-
-    A subject keeps a term that no anchor claims only while it explains at
-    least ``own`` of the term's use; words that all subjects share stay in the
-    backgrounds, so a component cannot turn into one for a language or template.
-    """
-    k = h.shape[0]
-    for _ in range(rounds):
-        parts = bags.mapInArrow(_numerators(h.astype(np.float32)), "t int, " + ", ".join(f"c{i} double" for i in range(k)))
-        sums = parts.groupBy("t").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
-        new = np.zeros_like(h)
-        new[:, sums["t"].to_numpy()] = sums[[f"c{i}" for i in range(k)]].to_numpy().T
-        use = new.sum(axis=0)
-        for i in range(n_subjects):  # an anchored term stays with its subject
-            new[i, (anchors != i) & ((anchors >= 0) | (new[i] < own * use))] = 0
-        h = new / np.maximum(new.sum(axis=1, keepdims=True), 1e-12)
+def factor(numbered: DataFrame, v: pd.DataFrame, n_subjects: int) -> Parts:
+    """H after alternating updates over all documents, until its anchors settle."""
+    sc = numbered.sparkSession.sparkContext
+    uses = v["uses"].to_numpy(float)
+    anchor, held = seeds(v, n_subjects)
+    h = Parts(anchor, held, uses, n_subjects, hard=True)
+    for _ in range(MOST_UPDATES):
+        if not (h.anchor >= 0).any():
+            return h
+        shared = sc.broadcast(h)
+        parts = numbered.select("term", "count").mapInArrow(_held(shared, len(v)), "t int, " + ", ".join(f"c{k} double" for k in range(n_subjects)))
+        sums = parts.groupBy("t").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n_subjects)]).toPandas()
+        shared.destroy()
+        n = np.zeros((n_subjects, len(v)))
+        n[:, sums["t"].to_numpy()] = sums[[f"c{k}" for k in range(n_subjects)]].to_numpy(float).T
+        all_, best = n.sum(axis=0), n.argmax(axis=0)
+        most = n.max(axis=0)
+        anchor = np.where((all_ > 0) & (most >= OWN * all_), best, -1)
+        settled = (anchor != h.anchor).mean() <= SETTLED
+        h = Parts(anchor, most, uses, n_subjects)
+        if settled:
+            break
     return h
 
 
-_SHARE = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("n", pa.int32()), ("share", pa.float64()), ("of_clear", pa.float64()), ("weight", pa.float64())])
+_SHARE = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("n", pa.int32()), ("share", pa.float64()), ("weight", pa.float64())])
 
 
-def _assign(h: np.ndarray, subjects: list[str], sure: float):
-    """Shares of the sentences, and of the words' weight, per document and subject."""
-    k = len(subjects)
+def _assign(parts, subjects: list[str]):
+    """Sentences of each document on each subject, their share, and the subject's part of W."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = parts.value
         for b in batches:
-            rows: list[tuple] = []
-            for lo in range(0, b.num_rows, STEP):
-                part = b.slice(lo, STEP)
-                ids = part.column(0).to_pylist()
-                row, sent, cols, early, n_sent = [], [], [], [], []
-                at = 0
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ss = [terms(s) for s in sentences(text or "")]
-                    ss = [s for s in ss if s]
-                    for s in ss:
-                        row.extend([i] * len(s))
-                        sent.extend([at] * len(s))
-                        cols.extend(s)
-                        early.extend(np.linspace(1 + EARLY, 1 - EARLY, len(s)))
-                        at += 1
-                    n_sent.append(len(ss))
-                if not cols:
-                    continue
-                row, sent, cols, early = np.array(row), np.array(sent), np.array(cols), np.array(early)
-                w, r = mixtures(row, len(ids), cols, np.ones(len(cols)), h)
-                mass, plainly = np.zeros((at, k)), np.zeros(at)
-                for j in range(k):
-                    mass[:, j] = np.bincount(sent, weights=r[:, j] * early, minlength=at)
-                    plainly += np.bincount(sent, weights=r[:, j], minlength=at)
-                of = np.zeros(at, dtype=np.int64)
-                of[sent] = row
-                mixture = w[:, :k] / np.maximum(w[:, :k].sum(axis=1, keepdims=True), 1e-12)
-                top = (mass * (mixture[of] + PRIOR)).argmax(axis=1)
-                about = plainly >= sure
-                counts = np.zeros((len(ids), k))
-                np.add.at(counts, (of[about], top[about]), 1)
-                for i, j in zip(*np.nonzero(counts)):
-                    rows.append((ids[i], subjects[j], int(counts[i, j]), counts[i, j] / n_sent[i], counts[i, j] / counts[i].sum(), float(mixture[i, j])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _SHARE)] if rows else [pa.array([], type=f.type) for f in _SHARE], schema=_SHARE)
+            for lo in range(0, b.num_rows, 4 * STEP):
+                part = b.slice(lo, 4 * STEP)
+                row, term, count = _rows(part)
+                w, _ = h.mixtures(row, part.num_rows, term, count)
+                mix = _shares(w)
+                at, n = _flat(part.column(part.schema.get_field_index("at")))
+                where = np.repeat(np.arange(part.num_rows), n)
+                sentence, s = np.unique(_flat(part.column(part.schema.get_field_index("sentence")))[0] + where * (1 << 32), return_inverse=True)
+                of = sentence >> 32
+                mine = np.flatnonzero(h.anchor[at] >= 0)
+                a, t, d = h.anchor[at[mine]], at[mine], where[mine]
+                sent = w[d, a] * h.own[t]
+                sent = sent / np.maximum(sent + w[d, -1] * h.back[t], 1e-300)
+                mass = np.bincount(s[mine] * h.k + a, weights=sent, minlength=len(sentence) * h.k).reshape(-1, h.k)
+                about = mass.sum(axis=1) >= SURE
+                top = (mass * (mix[of] + PRIOR)).argmax(axis=1)
+                n = np.bincount(of[about] * h.k + top[about], minlength=part.num_rows * h.k).reshape(-1, h.k)
+                i, k = np.nonzero(n)
+                ids = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array([subjects[x] for x in k], type=pa.string()), pa.array(n[i, k], type=pa.int32()), pa.array(n[i, k] / n[i].sum(axis=1)), pa.array(mix[i, k])], schema=_SHARE)
 
     return run
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS, sure: float = 1.0) -> DataFrame:
-    """``doc_id, subject, n, share, of_clear, weight``: sentences on a subject, their share of all sentences and of those on any subject, and its part of W."""
+def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """``doc_id, subject, n, share, weight``: sentences on a subject, their share of those on any subject, and its part of W."""
+    sc = docs.sparkSession.sparkContext
+    number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))]) if subjects else F.lit(None).cast("map<string,int>")
+    marked = labels.select(F.col("doc_id").cast("long").alias("k"), F.try_element_at(number, F.col("subject")).alias("s")).where("k is not null and s is not null")
+    marked = marked.groupBy("k").agg(F.collect_set("s").alias("labels")).orderBy(F.xxhash64("k")).limit(LABELLED)  # a bound for the broadcast
     d = docs.select(F.col("doc_id").cast("long").alias("k"), "text").where("k is not null and text is not null")
-    bags = table(d.mapInArrow(_bags, "k long, terms array<int>, counts array<float>"), "bags")
-    languages = docs.select(F.col("doc_id").cast("long").alias("k"), "lang") if "lang" in docs.columns else None
-    h, anchors = seeds(bags, labels, subjects, languages)
-    h = factor(bags, h, anchors, len(subjects), rounds)
-    discard(bags)
-    return d.mapInArrow(_assign(h.astype(np.float32), subjects, sure), "doc_id long, subject string, n int, share double, of_clear double, weight double")
-
+    joined = d.join(F.broadcast(marked), "k", "left").select("k", F.coalesce("labels", F.array().cast("array<int>")).alias("labels"), "text")
+    read = table(joined.mapInArrow(_read, "k long, labels array<int>, words array<long>, sizes array<int>"), "read")
+    v = vocabulary(read, len(subjects), read.count())
+    if not len(v):
+        return docs.sparkSession.createDataFrame([], "doc_id long, subject string, n int, share double, weight double")
+    known = sc.broadcast(v["t"].to_numpy().view(np.uint64))
+    numbered = table(read.mapInArrow(_number(known), "k long, term array<int>, count array<float>, at array<int>, sentence array<int>"), "numbered")
+    discard(read)
+    h = factor(numbered, v, len(subjects))
+    out = table(numbered.mapInArrow(_assign(sc.broadcast(h), subjects), "doc_id long, subject string, n int, share double, weight double"), "shares")
+    discard(numbered)
+    known.destroy()
+    return out
 
-def subjects_of(docs: DataFrame, labels: DataFrame, subjects: list[str], least_share: float = 0.25, **kw) -> DataFrame:
-    """``doc_id, subject`` for every subject on which at least ``least_share`` of the sentences are.
 
-    Typing faults and run-on list items make some sentences unreadable or one
-    too many, so two sentences or more also suffice that are ``least_share`` of the
-    sentences on any subject and four fifths of ``least_share`` of all.
-    """
-    s = subject_shares(docs, labels, subjects, **kw)
-    e = 1e-9
-    clear = (F.col("n") >= 2) & (F.col("of_clear") >= least_share - e) & (F.col("share") >= 0.8 * least_share - e)
-    return s.where((F.col("share") >= least_share - e) | clear).select("doc_id", "subject").distinct()
+def subjects_of(docs: DataFrame, labels: DataFrame, subjects: list[str], least_share: float = 0.25) -> DataFrame:
+    """``doc_id, subject`` for every subject on which at least ``least_share`` of the sentences on any subject are."""
+    return subject_shares(docs, labels, subjects).where(F.col("share") >= least_share - 1e-9).select("doc_id", "subject").distinct()
