@@ -287,11 +287,11 @@ def _shares(w: np.ndarray) -> np.ndarray:
     return s / np.maximum(s.sum(axis=1, keepdims=True), 1e-12)
 
 
-_NUMBERED = pa.schema([("k", pa.int64()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32())), ("at", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32()))])
+_NUMBERED = pa.schema([("k", pa.int64()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32())), ("at", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
 
 def _number(vocabulary):
-    """Texts as numbers of the vocabulary: the document's terms with counts, and each term of each sentence."""
+    """Texts as numbers of the vocabulary: the document's terms with counts, and the terms of its sentences with their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
@@ -303,12 +303,14 @@ def _number(vocabulary):
                 number = np.minimum(np.searchsorted(known, term), len(known) - 1)
                 ok = known[number] == term
                 number, sentence = number[ok], sentence[ok]
-                doc = row[sentence]
-                order = np.argsort(doc, kind="stable")
-                number, sentence, doc = number[order], sentence[order], doc[order]
-                cell, count = np.unique(doc * len(known) + number, return_counts=True)
+                order = np.argsort(sentence.astype(np.int32), kind="stable")
+                number, sentence = number[order], sentence[order]
+                cell, count = np.unique(row[sentence] * len(known) + number, return_counts=True)
+                sizes = np.bincount(sentence, minlength=len(size))
+                some = np.flatnonzero(sizes)
+                doc = row[some]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _lists(cell % len(known), np.bincount(cell // len(known), minlength=n), pa.int32()), _lists(count.astype(np.float32), np.bincount(cell // len(known), minlength=n), pa.float32()), _lists(number, np.bincount(doc, minlength=n), pa.int32()), _lists(sentence, np.bincount(doc, minlength=n), pa.int32())],
+                    [part.column(0), _lists(cell % len(known), np.bincount(cell // len(known), minlength=n), pa.int32()), _lists(count.astype(np.float32), np.bincount(cell // len(known), minlength=n), pa.float32()), _lists(number, np.bincount(row[sentence], minlength=n), pa.int32()), _lists(sizes[some], np.bincount(doc, minlength=n), pa.int32())],
                     schema=_NUMBERED,
                 )
 
@@ -383,15 +385,14 @@ def _assign(parts, subjects: list[str]):
                 row, term, count = _rows(part)
                 w, _ = h.mixtures(row, part.num_rows, term, count)
                 mix = _shares(w)
-                at, n = _flat(part.column(part.schema.get_field_index("at")))
-                where = np.repeat(np.arange(part.num_rows), n)
-                sentence, s = np.unique(_flat(part.column(part.schema.get_field_index("sentence")))[0] + where * (1 << 32), return_inverse=True)
-                of = sentence >> 32
+                at, _ = _flat(part.column(part.schema.get_field_index("at")))
+                size, n = _flat(part.column(part.schema.get_field_index("sizes")))
+                of, s = np.repeat(np.arange(part.num_rows), n), np.repeat(np.arange(len(size)), size)
                 mine = np.flatnonzero(h.anchor[at] >= 0)
-                a, t, d = h.anchor[at[mine]], at[mine], where[mine]
+                a, t, d = h.anchor[at[mine]], at[mine], of[s[mine]]
                 sent = w[d, a] * h.own[t]
                 sent = sent / np.maximum(sent + w[d, -1] * h.back[t], 1e-300)
-                mass = np.bincount(s[mine] * h.k + a, weights=sent, minlength=len(sentence) * h.k).reshape(-1, h.k)
+                mass = np.bincount(s[mine] * h.k + a, weights=sent, minlength=len(size) * h.k).reshape(-1, h.k)
                 about = mass.sum(axis=1) >= SURE
                 top = (mass * (mix[of] + PRIOR)).argmax(axis=1)
                 n = np.bincount(of[about] * h.k + top[about], minlength=part.num_rows * h.k).reshape(-1, h.k)
@@ -415,7 +416,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> D
     if not len(v):
         return docs.sparkSession.createDataFrame([], "doc_id long, subject string, n int, share double, weight double")
     known = sc.broadcast(v["t"].to_numpy().view(np.uint64))
-    numbered = table(read.mapInArrow(_number(known), "k long, term array<int>, count array<float>, at array<int>, sentence array<int>"), "numbered")
+    numbered = table(read.mapInArrow(_number(known), "k long, term array<int>, count array<float>, at array<int>, sizes array<int>"), "numbered")
     discard(read)
     h = factor(numbered, v, len(subjects))
     out = table(numbered.mapInArrow(_assign(sc.broadcast(h), subjects), "doc_id long, subject string, n int, share double, weight double"), "shares")
