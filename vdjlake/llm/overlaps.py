@@ -6,6 +6,10 @@ sets that hold it are incremented, so an intersection is never materialised and
 no pair of rows ever leaves a task: a task sends one partial count per pair of
 sets that met in its range, and those are added up.
 
+The rows are written once, so that their number sets the number of ranges: a task
+holds about ``RANGE_ROWS`` rows, however many there are. The counts are written once
+as well, since both set sizes and overlaps are read from them.
+
 Counters per task grow with the number of pairs of sets, not with identifiers.
 An identifier belongs to a set once, so a common identifier costs at most one
 row per set.
@@ -27,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vdjlake.session import shuffle_partitions
+from vdjlake.session import discard, slots, table
+
+#: Rows of one range.
+RANGE_ROWS = 300_000
 
 _OUT = pa.schema([("set_a", pa.string()), ("set_b", pa.string()), ("n", pa.int64())])
 
@@ -55,10 +62,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_counts(members: DataFrame, set_name: str, identifier: str, tasks: int | None = None) -> DataFrame:
     """``set_a, set_b, shared``: for set_a < set_b the shared identifiers, for set_a = set_b the set's size."""
-    rows = members.select(F.col(set_name).alias("s"), F.col(identifier).alias("i")).where("s is not null and i is not null").distinct()
-    tasks = tasks or shuffle_partitions(members.sparkSession)
+    rows = table(members.select(F.col(set_name).alias("s"), F.col(identifier).alias("i")).where("s is not null and i is not null").distinct(), "members")
+    tasks = tasks or max(slots(members.sparkSession), -(-rows.count() // RANGE_ROWS))
     parts = rows.repartitionByRange(tasks, "i").sortWithinPartitions("s", "i").mapInArrow(_merge, "set_a string, set_b string, n long")
-    return parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("shared"))
+    out = table(parts.groupBy("set_a", "set_b").agg(F.sum("n").alias("shared")), "overlaps")
+    discard(rows)
+    return out
 
 
 def overlaps(members: DataFrame, set_name: str, identifier: str, tasks: int | None = None) -> DataFrame:
