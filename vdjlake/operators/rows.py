@@ -239,9 +239,14 @@ def clone_buckets(df: DataFrame, group: list[str], clone: str = "clone_id") -> D
     return sizes.groupBy(*group, bucket.alias("bucket")).agg(F.sum("n").alias("rows"))
 
 
-def browser_order(df: DataFrame, clone: str = "clone_id", count: str = "clone_count", pos: str = "sequence_id") -> DataFrame:
+def browser_keys(clone: str = "clone_id", count: str = "clone_count", pos: str = "sequence_id") -> list[Column]:
     """Cloned rows first, larger clones first, then clone id, then the original order."""
-    return df.orderBy(F.col(clone).isNull(), F.desc_nulls_last(count), F.asc_nulls_last(clone), pos)
+    return [F.col(clone).isNull(), F.desc_nulls_last(count), F.asc_nulls_last(clone), F.col(pos)]
+
+
+def browser_order(df: DataFrame, clone: str = "clone_id", count: str = "clone_count", pos: str = "sequence_id") -> DataFrame:
+    """Rows in the order of :func:`browser_keys`."""
+    return df.orderBy(*browser_keys(clone, count, pos))
 
 
 def tree_order(df: DataFrame, timepoint: str = "timepoint", size: str = "clone_size") -> DataFrame:

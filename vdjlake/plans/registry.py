@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vdjlake.plans import clones, data_quality, records, repertoire, scalars, statistics
+from vdjlake.plans import clones, data_quality, exchange, records, repertoire, scalars, statistics
 
-MODULES = [data_quality, scalars, repertoire, clones, statistics, records]
+MODULES = [data_quality, scalars, repertoire, clones, statistics, records, exchange]
 
 
 def queries() -> dict:

@@ -22,19 +22,20 @@ def list_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".f
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``sequence_id, header, sequence, filename``: one row per record.
+    """``sequence_id, header, sequence, filename, pos``: one row per record.
 
     Files are split at record starts, so large files are read in parallel; lines
-    of a record are put together, blanks removed. Lower case is kept.
+    of a record are put together, blanks removed. Lower case is kept. ``pos`` orders
+    records by file, part of the file and place in it.
     """
     if isinstance(paths, str):
         paths = list_files(spark, paths)
     raw = spark.read.option("lineSep", "\n>").text(paths)
-    rec = raw.select(F.regexp_replace(F.regexp_replace("value", r"^\s*>", ""), "\r", "").alias("r"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"))
+    rec = raw.select(F.regexp_replace(F.regexp_replace("value", r"^\s*>", ""), "\r", "").alias("r"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"))
     rec = rec.where(F.trim("r") != "")
     head = F.substring_index("r", "\n", 1)
     body = F.when(F.instr("r", "\n") > 0, F.regexp_replace(F.substr("r", F.instr("r", "\n") + 1), r"\s", "")).otherwise("")
-    return rec.select(F.split(F.trim(head), r"\s")[0].alias("sequence_id"), F.trim(head).alias("header"), body.alias("sequence"), F.url_decode("filename").alias("filename"))
+    return rec.select(F.split(F.trim(head), r"\s")[0].alias("sequence_id"), F.trim(head).alias("header"), body.alias("sequence"), F.url_decode("filename").alias("filename"), "pos")
 
 
 def sorted_by_name(df: DataFrame) -> DataFrame:
@@ -58,12 +59,12 @@ def imgt_allele(header: str = "header"):
 
 
 def clean_imgt(records: DataFrame) -> DataFrame:
-    """``allele, species, sequence``: gap dots removed, first record per allele and file order kept by :func:`first_per_allele`."""
-    return records.select(imgt_allele().alias("allele"), F.get(F.split("header", r"\|"), F.lit(2)).alias("species"), F.replace("sequence", F.lit("."), F.lit("")).alias("sequence"), F.col("header"))
+    """``allele, species, sequence, pos``: gap dots removed; :func:`first_per_allele` keeps the first record of each allele."""
+    return records.select(imgt_allele().alias("allele"), F.get(F.split("header", r"\|"), F.lit(2)).alias("species"), F.replace("sequence", F.lit("."), F.lit("")).alias("sequence"), "pos")
 
 
-def first_per_allele(records: DataFrame, order: str = "header") -> DataFrame:
-    """One record per allele: the first by ``order``."""
+def first_per_allele(records: DataFrame, order: str = "pos") -> DataFrame:
+    """One record per allele: the first in the order of the files."""
     cols = [c for c in records.columns if c != "allele"]
     return records.groupBy("allele").agg(F.min_by(F.struct(*cols), F.col(order)).alias("r")).select("allele", "r.*")
 
