@@ -61,7 +61,7 @@ def frequencies(df: DataFrame, scope: list[str], ord_: str = "ord", track: str =
     """``scope..., track, ord, size, frequency``: share of the tracked rows of a timepoint."""
     per = df.where(F.col(ord_).isNotNull()).groupBy(*scope, track, F.col(ord_).alias("ord")).agg(F.count(F.lit(1)).alias("size"))
     totals = per.groupBy(*scope, "ord").agg(F.sum("size").alias("total"))
-    return per.join(F.broadcast(totals), [*scope, "ord"]).select(*scope, track, "ord", "size", (F.col("size") / F.greatest("total", F.lit(1))).alias("frequency"))
+    return per.join(totals, [*scope, "ord"]).select(*scope, track, "ord", "size", (F.col("size") / F.greatest("total", F.lit(1))).alias("frequency"))
 
 
 def status(freq: DataFrame, scope: list[str], n_timepoints: int, track: str = "track", up: float = 1.5, down: float = 0.67) -> DataFrame:
@@ -98,7 +98,7 @@ def status_counts(st: DataFrame, scope: list[str]) -> DataFrame:
 def trajectories(df: DataFrame, scope: list[str], metric: DataFrame, timepoint: str = "timepoint", least: int = 2) -> DataFrame:
     """Rows of a per-timepoint metric table for the scopes that have ``least`` timepoints or more."""
     enough = df.groupBy(*scope).agg(F.countDistinct(timepoint).alias("__n")).where(F.col("__n") >= least)
-    return metric.join(F.broadcast(enough), scope, "left_semi")
+    return metric.join(enough, scope, "left_semi")
 
 
 def clone_ids_by_timepoint(df: DataFrame, scope: list[str], track: str = "track", clone: str = "clone_id", timepoint: str = "timepoint") -> DataFrame:
@@ -112,7 +112,7 @@ def design_from_mapping(mapping: DataFrame, group: str = "Study") -> DataFrame:
     from pyspark.sql import Window
 
     order = first.withColumn("ord", F.row_number().over(Window.orderBy("p")) - 1).drop("p")  # one row per timepoint
-    return mapping.join(F.broadcast(order), "timepoint").select(F.lit(group).alias("group_name"), "timepoint", "ord", "filename")
+    return mapping.join(order, "timepoint").select(F.lit(group).alias("group_name"), "timepoint", "ord", "filename")
 
 
 def reconcile(design: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vdjlake.functions import sequence as X
-from vdjlake.operators.components import connected, with_singletons
+from vdjlake.operators.components import connected, spanning, with_singletons
 from vdjlake.operators.similarity import hamming_pairs
-from vdjlake.session import table
+from vdjlake.session import discard, table
 
 #: Part that may differ in the segment join before texts without such a neighbour are compared with their whole block.
 NEAR = 0.1
@@ -62,7 +62,7 @@ def global_clone_ids(df: DataFrame, scope: list[str], timepoint: str = "timepoin
     top = df.where(F.col(clone).isNotNull()).groupBy(*scope, timepoint).agg((F.max(clone) + 1).alias("span"))
     w = Window.partitionBy(*scope).orderBy(timepoint).rowsBetween(Window.unboundedPreceding, -1)  # one row per timepoint
     shift = top.select(*scope, timepoint, F.coalesce(F.sum("span").over(w), F.lit(0)).alias("__shift"))
-    return df.join(F.broadcast(shift), [*scope, timepoint], "left").withColumn("global_clone", F.col(clone) + F.col("__shift")).drop("__shift")
+    return df.join(shift, [*scope, timepoint], "left").withColumn("global_clone", F.col(clone) + F.col("__shift")).drop("__shift")
 
 
 def cohort_rollup(df: DataFrame, v: str = "v", j: str = "j", cdr3: str = "cdr3", clone: str = "clone_id", cohort: str = "cohort", sample: str = "sample_file", row_id: str = "sequence_id", least: int = 1) -> DataFrame:
@@ -370,24 +370,84 @@ def thresholds(df: DataFrame, distance: str, by: str, fixed: dict[str, float] |
     return h.groupBy("label").applyInPandas(fit, f"label {kind}, threshold double")
 
 
+def kmer_profile(text: str, k: int = 3, letters: str = "ACGT") -> Column:
+    """SQL column: how often each word of ``k`` letters occurs in a text, in alphabetical order of the words; a plain encoder of sequences."""
+    n = len(letters) ** k
+    digit = f"(instr('{letters}', substring({text}, p + o, 1)) - 1)"
+    code = "aggregate(sequence(0, {0}), 0, (s, o) -> if(s < 0 or {1} < 0, -1, s * {2} + {1}))".format(k - 1, digit, len(letters))
+    codes = f"transform(if(length({text}) >= {k}, sequence(1, length({text}) - {k - 1}), array()), p -> {code})"
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.size(F.filter(F.expr(codes), lambda x: x == c)).cast("double"))
+
+
+def _near_vectors(cut: float):
+    """The links of one tile: of the vectors within ``cut`` of each other, as many links as hold them together."""
+
+    def run(t: pa.Table) -> pa.Table:
+        guest = t["guest"].to_numpy()
+        u = np.array(t["u"].to_pylist(), dtype=np.float64)
+        keys = t["k"].to_numpy()
+        left, right = np.flatnonzero(t["left"].to_numpy()), np.flatnonzero(t["right"].to_numpy())
+        xs, ys = [], []
+        for lo in range(0, len(left), 512):
+            i, j = np.nonzero(1 - u[left[lo : lo + 512]] @ u[right].T <= cut)
+            i, j = left[lo + i], right[j]
+            ok = guest[j] | (keys[i] < keys[j])
+            if ok.any():
+                nodes, roots = spanning(i[ok], j[ok])
+                xs.append(nodes[nodes != roots]), ys.append(roots[nodes != roots])
+        if xs:
+            nodes, roots = spanning(np.concatenate(xs), np.concatenate(ys))
+            x, y = nodes[nodes != roots], roots[nodes != roots]
+        else:
+            x = y = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": t["k"].take(pa.array(x)), "b": t["k"].take(pa.array(y))})
+
+    return run
+
+
 def embedding_clusters(df: DataFrame, key: str, vector: str, cut: float = 0.00015, block: list[str] | None = None) -> DataFrame:
     """``key, cluster``: single linkage of unit vectors within a cosine distance, by blocks.
 
-    Equal vectors are one class. Candidates are classes that share a cell of a
-    coarse grid on their first coordinates or a neighbouring one: within distance
-    c no coordinate of two unit vectors differs by more than sqrt(2 c).
+    Equal vectors are one class, named by its least key. Two unit vectors within distance c lie less than
+    sqrt(2 c) apart in every direction, so classes are put into cells of that width along a few random
+    directions - three for small cuts, one where a cell is as wide as most projections are spread - and a cell
+    is compared with itself and half of its neighbours. The products are those of matrices, in tiles of at most
+    ``TILE`` vectors on either side, and a tile sends links that hold its vectors together, not all pairs. With a
+    wide cut and vectors in all directions most cells meet: no exact join avoids that.
     """
     block = block or []
-    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
-    unit = rows.withColumn("__n", norm).where("__n > 0").select(*block, key, F.transform(vector, lambda x: x.cast("double") / F.col("__n")).alias("u"))
+    kinds = dict(df.dtypes)
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [key, vector, *block])).select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(block)], F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    bs = [f"__b{i}" for i in range(len(block))]
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = rows.withColumn("__n", norm).where("__n > 0").select(*bs, "k", F.transform("v", lambda x: x / F.col("__n")).alias("u"))
+    classes = table(unit.groupBy(*bs, "u").agg(F.min("k").alias("k")), "vectors")
     step = float(np.sqrt(2 * cut)) * 1.0001
-    cell = lambda i: F.floor(F.coalesce(F.get("u", F.lit(i)), F.lit(0.0)) / F.lit(step))
-    cells = unit.select(*block, F.col(key).alias("k"), "u", *[cell(i).alias(f"c{i}") for i in range(3)])
-    near = cells.select(*block, "k", "u", *[F.explode(F.sequence(F.col("c0") - 1, F.col("c0") + 1)).alias("c0")], "c1", "c2")
-    for i in (1, 2):
-        near = near.select(*block, "k", "u", *[F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)).alias(f"c{i}") if j == i else F.col(f"c{j}") for j in range(3)])
-    b = cells.select(*block, F.col("k").alias("kb"), F.col("u").alias("ub"), "c0", "c1", "c2")
-    dot = F.aggregate(F.zip_with("u", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    edges = near.join(b, [*block, "c0", "c1", "c2"]).where("k < kb").where(1 - dot <= cut).select(F.col("k").alias("a"), F.col("kb").alias("b"))
-    return with_singletons(rows.select(key), connected(edges), key).withColumnRenamed("component", "cluster")
+    dims = 1 if step > 0.2 else 3
+    size = classes.select(F.max(F.size("u")).alias("n")).first()["n"] or 1
+    axes = np.linalg.qr(np.random.default_rng(17).normal(size=(size, min(dims, size))))[0].T
+    along = [F.floor(F.aggregate(F.zip_with("u", F.array(*[F.lit(float(x)) for x in a]), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x) / F.lit(step)).alias(f"c{i}") for i, a in enumerate(axes)]
+    cs = [f"c{i}" for i in range(len(axes))]
+    cells = table(classes.select(*bs, "k", "u", *along), "cells")
+    m = cells.groupBy(*bs, *cs).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts"))
+    # half of the neighbours: those after the cell itself in the order of their offsets
+    near = [o for o in np.ndindex(*(3,) * len(cs)) if tuple(x - 1 for x in o) > (0,) * len(cs)]
+    shift = F.array(*[F.struct(*[F.lit(int(x) - 1).alias(f"d{i}") for i, x in enumerate(o)]) for o in near])
+    guests = cells.withColumn("o", F.explode(shift)).select(*bs, "k", "u", *[(F.col(c) - F.col(f"o.d{i}")).alias(c) for i, c in enumerate(cs)], F.lit(True).alias("guest"))
+    homes = cells.withColumn("guest", F.lit(False))
+    both = homes.unionByName(guests.select(homes.columns)).join(m, [*bs, *cs])
+    at = F.expr("cast(pmod(xxhash64(k), parts) as int)")
+    every = F.expr("sequence(0, parts - 1)")
+    # a home is on the left of its own row of tiles; homes and guests are on the right of their column
+    left = both.where("not guest").select(*bs, *cs, "k", "u", "guest", at.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = both.select(*bs, *cs, "k", "u", "guest", F.explode(every).alias("i"), at.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    links = left.unionByName(right).groupBy(*bs, *cs, "i", "j").applyInArrow(_near_vectors(cut), f"a {kinds[key]}, b {kinds[key]}")
+    copies = unit.join(classes.select(*bs, "u", F.col("k").alias("least")), [*bs, "u"]).where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
+    out = with_singletons(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key), connected(links.unionByName(copies)), key).withColumnRenamed("component", "cluster")
+    discard(classes, cells)
+    return out
+
+
+def cluster_sizes(members: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Members with the number of members of their cluster (``size``); a join, so a huge cluster is no task's window."""
+    return members.join(members.groupBy(cluster).agg(F.count(F.lit(1)).alias("size")), cluster)

@@ -55,7 +55,7 @@ def public_ids(df: DataFrame, keys: list[str], timepoint: str = "timepoint", fil
     enough = df.where(F.col(file).isNotNull()).groupBy(F.col(timepoint).alias("__t")).agg(F.countDistinct(file).alias("files")).where(F.col("files") >= least)
     rows = df.where(" and ".join(f"`{k}` is not null" for k in [*keys, patient])).select(*keys, timepoint, patient).distinct()
     per = rows.groupBy(*keys, timepoint).agg(F.count(F.lit(1)).alias("p")).where(F.col("p") >= least)
-    return per.join(F.broadcast(enough), F.col(timepoint) == F.col("__t"), "left_semi").select(*keys).distinct()
+    return per.join(enough, F.col(timepoint) == F.col("__t"), "left_semi").select(*keys).distinct()
 
 
 def repertoire_totals(df: DataFrame, group: list[str], clone: str = "clone_id") -> DataFrame:
@@ -74,7 +74,7 @@ def heatmap(df: DataFrame, keys: list[str], patient: str = "patient", clones: Da
     totals = n.groupBy(*scope, "patient").agg(F.sum("n").alias("total"))
     rows = clones.select(*keys).distinct() if clones is not None else n.select(*keys).distinct()
     if scope:
-        grid = rows.join(F.broadcast(totals), scope)
+        grid = rows.join(totals, scope)
     else:  # the list of patients is as long as the grid is wide
         listed = totals.agg(F.array_sort(F.collect_list(F.struct("patient", "total")))).scalar()
         grid = rows.withColumn("__p", F.explode(listed)).select(*keys, "__p.patient", "__p.total")
@@ -108,13 +108,14 @@ def bipartite(df: DataFrame, keys: list[str], patient: str = "patient", top: int
     return n.join(F.broadcast(lead), keys, "left_semi")
 
 
-def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id: str = "sequence_id", edits: int = 2) -> DataFrame:
+def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id: str = "sequence_id", edits: int = 2, max_rounds: int = 200) -> DataFrame:
     """Greedy leader clustering within a block: ``block..., <row_id>, leader``.
 
     In the order of row ids the first row not yet taken leads, and takes every
     later one within ``edits`` of it. Who leads is settled in rounds of joins: a
     row with no open smaller neighbour leads; rows next to a leader join the smallest
-    one. Only pairs within reach are ever formed.
+    one. Only pairs within reach are ever formed. Rounds are as many as the longest chain of
+    rows that wait for each other; beyond ``max_rounds`` an error says so.
     """
     from vdjlake.session import discard, table
 
@@ -122,7 +123,7 @@ def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id:
     reps = rows.groupBy(*block, cdr3).agg(F.min(row_id).alias("rep"))
     pairs = table(edit_pairs(reps, block, cdr3, "rep", edits).select("a", "b"), "pairs")
     state = table(reps.select(F.col("rep").alias("node"), F.lit(None).cast("string").alias("leader")), "leaders")
-    while True:
+    for _ in range(max_rounds):
         # a row leads once every smaller neighbour follows some other leader
         lead = state.where("leader = node").select(F.col("node").alias("a"))
         open_ = state.where("leader is null").select(F.col("node").alias("b"))
@@ -139,6 +140,9 @@ def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id:
         state = nxt
         if not state.where("leader is null").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    discard(pairs)
     named = reps.join(state, F.col("rep") == F.col("node")).select(*block, cdr3, "leader")
     return rows.select(*block, cdr3, row_id).join(named, [*block, cdr3]).select(*block, row_id, "leader")
 

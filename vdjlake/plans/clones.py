@@ -150,8 +150,15 @@ def cluster_sharing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors within a cosine distance of 0.01 of each other, by single linkage."""
-    return C.embedding_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 0.01)
+    """Vectors within a cosine distance of 0.05 of each other, by single linkage."""
+    return C.embedding_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 0.05)
+
+
+def profile_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions whose word profiles lie within a cosine distance of 0.02, by cohort and genes, with the size of their cluster."""
+    j = _called(spark, d).where("cohort is not null and v is not null and j is not null and junction is not null and not junction rlike '[^ACGT]' and length(junction) >= 3")
+    c = C.embedding_clusters(j.withColumn("profile", C.kmer_profile("junction")), "sequence_id", "profile", 0.02, ["cohort", "v", "j"])
+    return C.cluster_sizes(c).select("sequence_id", "cluster", "size")
 
 
 def _antibodies(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clone_profiles, lineage_edges, lineage_ids, lineage_summary, global_clone_ids, cohort_rollup, cohort_edges, cohort_clusters, cluster_rollup, cluster_cohort_top, exact_cluster_sets,
-        single_link_clones, linkage_clones, gene_groups, nearest_distance, distance_histogram, distance_thresholds, distance_density, cluster_sheet, leader_clusters, cluster_sharing, embedding_clusters,
+        single_link_clones, linkage_clones, gene_groups, nearest_distance, distance_histogram, distance_thresholds, distance_density, cluster_sheet, leader_clusters, cluster_sharing, embedding_clusters, profile_clusters,
         top_clones, vh_matches, cdr3_matches, match_stats, identity_bands, match_stats_by_timepoint, content_counts, top_consistent, clone_trees,
     )
 }
@@ -296,12 +303,20 @@ SELECT sequence_id, coalesce(comp.least, gs[1]) AS v FROM x LEFT JOIN comp ON co
     "top_clones": f"WITH {_TOP} SELECT * FROM top",
     "vh_matches": f"WITH {_TOP}, {_VH} SELECT * FROM hv",
     "cdr3_matches": f"WITH {_TOP}, {_C3} SELECT * FROM hc",
+    "antibody_bands": f"WITH {_TOP}, {_VH} SELECT clone, antibody_name, identity FROM hv WHERE clone IN (SELECT concat_ws('/', cohort, clone_id) FROM s WHERE timepoint = 'day14' AND cohort IS NOT NULL AND clone_id IS NOT NULL)",
     "match_stats": f"WITH {_TOP}, {_VH}, {_C3}, b AS (SELECT q.clone, (SELECT max(identity) FROM hv WHERE hv.clone = q.clone) AS vh, (SELECT max(identity) FROM hc WHERE hc.clone = q.clone) AS cdr3 FROM q) SELECT count(*) AS analysed, count(vh) AS with_vh, count(cdr3) AS with_cdr3, count(*) FILTER (WHERE greatest(vh, cdr3) >= 60) AS high FROM b",
     "identity_bands": f"WITH {_TOP}, {_VH} SELECT CASE WHEN identity >= 95 THEN '>=95' WHEN identity >= 90 THEN '90-94' WHEN identity >= 80 THEN '80-89' ELSE '<80' END AS band, count(*) AS n FROM hv GROUP BY 1",
     "match_stats_by_timepoint": f"""WITH {_TOP}, {_C3}, b AS (SELECT split_part(q.clone, '/', 1) AS cohort, q.timepoint, hc.identity FROM hc JOIN q ON q.clone = hc.clone WHERE rank = 1)
 SELECT cohort, CASE WHEN grouping(timepoint) = 1 THEN 'All' ELSE timepoint END AS timepoint, count(*) AS n, count(*) FILTER (WHERE identity >= 40) AS high, count(*) FILTER (WHERE identity >= 40) / CAST(count(*) AS DOUBLE) * 100 AS percent_high FROM b GROUP BY GROUPING SETS ((cohort), (cohort, timepoint))""",
     "content_counts": f"WITH {_J} SELECT cohort, clone_id, replace(junction, 'N', '') AS content, count(*) AS n FROM jn WHERE clone_id IS NOT NULL AND junction IS NOT NULL GROUP BY 1, 2, 3",
     "top_consistent": f"WITH {_J} SELECT cohort, clone_id, count(*) AS size FROM jn WHERE clone_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT v) <= 1 AND count(*) >= 3 ORDER BY size DESC, cohort, clone_id LIMIT 20",
-    "embedding_clusters": f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.01), {_closure('e')}
+    "profile_clusters": f"""WITH RECURSIVE {_JJ}, q AS (SELECT cohort, v, j, junction, min(sequence_id) AS k FROM jj WHERE cohort IS NOT NULL AND v IS NOT NULL AND j IS NOT NULL AND length(junction) >= 3 AND NOT regexp_matches(junction, '[^ACGT]') GROUP BY ALL),
+w AS (SELECT x || y || z AS w FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x) a, (SELECT unnest(['A', 'C', 'G', 'T']) AS y) b, (SELECT unnest(['A', 'C', 'G', 'T']) AS z) c),
+o AS (SELECT k, substr(junction, i, 3) AS w, count(*) AS n FROM q, range(1, length(junction) - 1) r(i) GROUP BY ALL),
+p AS (SELECT q.k, any_value(cohort) AS cohort, any_value(v) AS v, any_value(j) AS j, any_value(junction) AS junction, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY w.w) AS u FROM q CROSS JOIN w LEFT JOIN o ON o.k = q.k AND o.w = w.w GROUP BY q.k),
+e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.cohort = b.cohort AND a.v = b.v AND a.j = b.j AND a.k < b.k AND 1 - list_cosine_similarity(a.u, b.u) <= 0.02), {_closure('e')},
+m AS (SELECT jj.sequence_id, coalesce(comp.component, q.k) AS cluster FROM jj JOIN q ON q.cohort = jj.cohort AND q.v = jj.v AND q.j = jj.j AND q.junction = jj.junction LEFT JOIN comp ON comp.node = q.k)
+SELECT sequence_id, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM m""",
+    "embedding_clusters": f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= 0.05), {_closure('e')}
 SELECT vec_id, coalesce(component, vec_id) AS cluster FROM embeddings LEFT JOIN comp ON node = vec_id""",
 }

@@ -149,6 +149,7 @@ _METRICS = "SELECT cohort, timepoint, metric, round(value, 9) AS value FROM (SEL
 _CLASSES = f"""SELECT cohort, timepoint, class AS metric, round(coalesce(n, 0) / CAST(sum(n) OVER (PARTITION BY {_AT}) AS DOUBLE), 9) AS value FROM g LEFT JOIN n USING ({_AT}, class)"""
 
 SQL = {
+    "sample_metrics": f"WITH {S}, {_div('cohort, sample_file')} SELECT cohort, sample_file, metric, value FROM (SELECT cohort, sample_file, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in METRICS)} FROM m) x UNPIVOT (value FOR metric IN ({', '.join(METRICS)}))",
     "timepoint_ranks": f"WITH {S.replace('FROM sequences WHERE', 'FROM sequences WHERE cohort_name IS NOT NULL AND timepoint IS NOT NULL AND sample_file IS NOT NULL AND sample_name IS NOT NULL AND')}, {_div(_AT)}, mu AS (SELECT {_AT}, {_MUT} FROM s GROUP BY ALL), {_ranked(_METRICS)}",
     "isotype_timepoint_ranks": f"""WITH {S}, c AS (SELECT {_AT}, {IG_CLASS.format('c_call')} AS class FROM s WHERE {_KNOWN} AND (v IS NULL OR v NOT LIKE 'IGK%' AND v NOT LIKE 'IGL%')),
 n AS (SELECT {_AT}, class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY ALL),

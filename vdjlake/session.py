@@ -38,11 +38,14 @@ def session(app: str = "vdjlake", master: str | None = None, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is
-    set for the session.
+    Only where the setting is absent and all executors are in this machine's one process
+    (tests) a temporary folder is set for the session; a cluster without it is refused,
+    since each executor would write to a disk of its own.
     """
     at = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="vdjlake-")
         spark.conf.set(_KEY, at)
     return at.rstrip("/")

@@ -49,7 +49,7 @@ def file_ids(spark: SparkSession, names: list[str], first: int = 1001) -> DataFr
 
 def combine(records: DataFrame, files: DataFrame) -> DataFrame:
     """Records with their file's number appended to the id, kept as a column as well."""
-    return records.join(F.broadcast(files), "filename").withColumn("sequence_id", F.concat_ws("_", "sequence_id", F.col("file_id").cast("string")))
+    return records.join(files, "filename").withColumn("sequence_id", F.concat_ws("_", "sequence_id", F.col("file_id").cast("string")))
 
 
 def imgt_allele(header: str = "header"):
