@@ -436,3 +436,43 @@ def test_ambiguous_calls(spark):
     df = spark.createDataFrame(rows, "scope string, k string, call string").withColumn("gene", F.lit("x"))
     got = {(r["scope"], r["k"]): r["v"] for r in lineages.gene_groups(df, ["scope"], "call", "v").collect()}
     assert got == {("c", "r1"): "IGHV1-2", ("c", "r2"): "IGHV1-2", ("c", "r3"): "IGHV1-2", ("c", "r4"): "IGHV9", ("d", "r5"): "IGHV1-3", ("c", "r6"): None, (None, "r7"): "IGHV1-2", ("d", "r8"): None}
+
+
+def test_kmer_profiles_and_vector_clusters(spark):
+    """Profiles count words; clusters equal single linkage over all pairs, in tiles of any size and with copies."""
+    import random
+
+    from vdjlake.operators import lineages
+
+    rng = random.Random(41)
+    texts = ["ACGTA", "AAAA", "AC", "", "ANCGT", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").coalesce(1)
+    got = {r["k"]: r["p"] for r in df.select("k", lineages.kmer_profile("t", 2).alias("p")).collect()}
+    words = [a + b for a in "ACGT" for b in "ACGT"]
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else [float(sum(t[j : j + 2] == w for j in range(len(t) - 1))) for w in words])
+    base = [np.array([rng.gauss(0, 1) for _ in range(8)]) for _ in range(6)]
+    rows = [(i, (base[i % 6] + np.array([rng.gauss(0, 0.05) for _ in range(8)])).tolist(), "xy"[i % 2]) for i in range(90)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(9)] + [(200, None, "x"), (201, [0.0] * 8, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, u array<double>, part string")
+    for cut in (0.0005, 0.01):
+        up = {r[0]: r[0] for r in rows if r[1]}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a in rows:
+            for b in rows:
+                if a[1] and b[1] and any(a[1]) and any(b[1]) and a[0] < b[0] and a[2] == b[2] and 1 - np.dot(a[1], b[1]) / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) <= cut:
+                    x, y = find(a[0]), find(b[0])
+                    up[max(x, y)] = min(x, y)
+        want = {k: find(k) for k in up}
+        assert len(set(want.values())) < len(want) - 9
+        for tile in (4096, 3):
+            old, lineages.TILE = lineages.TILE, tile
+            try:
+                assert dict(map(tuple, lineages.embedding_clusters(df, "vec_id", "u", cut, ["part"]).collect())) == want
+            finally:
+                lineages.TILE = old

@@ -371,12 +371,28 @@ def thresholds(df: DataFrame, distance: str, by: str, fixed: dict[str, float] |
 
 
 def kmer_profile(text: str, k: int = 3, letters: str = "ACGT") -> Column:
-    """SQL column: how often each word of ``k`` letters occurs in a text, in alphabetical order of the words; a plain encoder of sequences."""
-    n = len(letters) ** k
-    digit = f"(instr('{letters}', substring({text}, p + o, 1)) - 1)"
-    code = "aggregate(sequence(0, {0}), 0, (s, o) -> if(s < 0 or {1} < 0, -1, s * {2} + {1}))".format(k - 1, digit, len(letters))
-    codes = f"transform(if(length({text}) >= {k}, sequence(1, length({text}) - {k - 1}), array()), p -> {code})"
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.size(F.filter(F.expr(codes), lambda x: x == c)).cast("double"))
+    """How often each word of ``k`` letters occurs in a text, in alphabetical order of the words; a plain encoder of sequences.
+
+    Words with other letters are left out; a null text has a null profile.
+    """
+    place = np.full(256, -1, dtype=np.int64)
+    place[list(letters.encode())] = np.arange(len(letters))
+
+    def profiles(texts: pd.Series) -> pd.Series:
+        raw = [(t or "").encode("ascii", "replace") for t in texts]
+        at = place[np.frombuffer(b"\n".join(raw) + b"\n" * k, np.uint8)]
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        row = np.searchsorted(ends, np.arange(len(at) - k + 1), side="right")
+        code, ok = np.zeros(len(at) - k + 1, dtype=np.int64), np.ones(len(at) - k + 1, dtype=bool)
+        for o in range(k):
+            x = at[o : len(at) - k + 1 + o]
+            ok &= x >= 0
+            code = code * len(letters) + np.maximum(x, 0)
+        n = len(letters) ** k
+        counts = np.bincount(row[ok] * n + code[ok], minlength=len(raw) * n).reshape(-1, n)[: len(raw)].astype(float)
+        return pd.Series([None if t is None else c for t, c in zip(texts, counts)])
+
+    return F.pandas_udf(profiles, "array<double>")(text)
 
 
 def _near_vectors(cut: float):
