@@ -14,7 +14,7 @@ from vdjlake.operators.similarity import hamming_pairs
 from vdjlake.session import discard, table
 
 #: Part that may differ in the segment join before texts without such a neighbour are compared with their whole block.
-NEAR = 0.1
+NEAR = 0.05
 #: Texts on either side of a tile of a block.
 TILE = 4096
 
