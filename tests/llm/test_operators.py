@@ -369,3 +369,39 @@ def test_confidence_describes_the_rows_given(spark):
     one = {(r["l"], r["r"]): r["confidence"] for r in m.collect() if r["rule"] == 1}
     # of three joined pairs with both long texts two agree; the third is not given
     assert one == {("l0", "r0"): (2 + 1) / (2 + 2), ("l1", "r1"): (2 + 1) / (2 + 2), ("l3", "r3"): (2 + 1) / (3 + 2)}
+
+
+def test_long_texts_that_differ_in_their_tails_are_matched(spark):
+    """Long texts are joined however their differences and cut ends lie, in any number of parts."""
+    rng = random.Random(23)
+    aa = "ACDEFGHIKLMNPQRSTVWY"
+    vh = "".join(rng.choice(aa) for _ in range(120))
+    tail = "".join(("W" if c != "W" else "A") if k in (80, 86, 92, 98, 104, 110) else c for k, c in enumerate(vh))
+    left = [("l", None, vh, "V", "J"), ("m", "ARDYWGQGT", vh, "V", "J")]
+    right = [("tail", None, tail, "V", "J"), ("cut", None, vh[:62], "V", "J"), ("over", None, vh[55:] + "".join(rng.choice(aa) for _ in range(50)), "V", "J"), ("off", None, vh[:20] + tail[20:62] + vh[70:], "V", "J"), ("tail", "ARDYWGQGT", tail, "V", "K"), ("short", None, vh[50:61], "V", "J"), ("ten", None, vh[50:60], "V", "J")]
+    schema = "{0} string, short string, long string, n1 string, n2 string"
+    want = {(x[0], y[0]) for x in left for y in right if entity_match.long_agree(x[2], y[2])}
+    assert {("l", "tail"), ("l", "cut"), ("l", "over"), ("l", "short")} <= want and not {("l", "off"), ("l", "ten")} & want
+    m = entity_match.matches(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")))
+    assert {(r["l"], r["r"]) for r in m.collect()} == want
+
+
+def test_long_pairs_against_all_pairs(spark, monkeypatch):
+    """Related texts of all lengths, cut and changed at random; in small parts too."""
+    rng = random.Random(29)
+    base = ["".join(rng.choice("ACDE") for _ in range(n)) for n in (13, 24, 45, 60, 100, 130, 200)]
+
+    def kin():
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(t) // 12)):
+            t[rng.randrange(len(t))] = rng.choice("ACDE")
+        return "".join(t)[rng.randint(0, len(t) // 3) : len(t) - rng.randint(0, len(t) // 3)] + "".join(rng.choice("ACDE") for _ in range(rng.choice([0, 0, 3, 20])))
+
+    left, right = ([(i, kin()) for i in range(150)] for _ in range(2))
+    want = {(i, j) for i, a in left for j, b in right if min(len(a), len(b)) > 10 and entity_match.long_agree(a, b)}
+    lf, rf = spark.createDataFrame(left, "lh long, ll string"), spark.createDataFrame(right, "rh long, rl string")
+    for texts, pairs in ((50_000, 1 << 20), (80, 700)):
+        monkeypatch.setattr(entity_match, "TEXTS_AT_ONCE", texts)
+        monkeypatch.setattr(entity_match, "PAIRS_AT_ONCE", pairs)
+        got = [tuple(r) for r in entity_match._long_pairs(lf, rf).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
