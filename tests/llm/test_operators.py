@@ -405,3 +405,9 @@ def test_long_pairs_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(entity_match, "PAIRS_AT_ONCE", pairs)
         got = [tuple(r) for r in entity_match._long_pairs(lf, rf).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_tables_above_the_bound_are_not_broadcast(spark):
+    """The driver holds several such tables at a time, so a marked one has few rows."""
+    hinted = lambda n: "ResolvedHint" in entity_match._small(spark.range(n), "bound")._jdf.queryExecution().analyzed().toString()
+    assert hinted(1000) and not hinted(60_000)
