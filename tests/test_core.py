@@ -179,6 +179,21 @@ def test_edit_pairs_and_leaders(spark):
     assert led == {f"s{i:02d}": taken[i] for i in range(50)}
 
 
+def test_leaders_of_a_long_chain(spark):
+    """A chain in which every row waits for the one before it is settled however long it is, in every block."""
+    texts = ["K" * (3 * i) for i in range(1, 402)]  # neighbours are three edits apart
+    texts = [t + "KK"[: i % 2] for i, t in enumerate(texts)]
+    data = [(v, t, f"s{i:03d}{v}") for v in ("V1", "V2") for i, t in enumerate(sorted(texts, key=len))]
+    df = spark.createDataFrame(data, "v string, cdr3 string, sequence_id string")
+    want: dict = {}
+    for v, t, k in data:
+        for w, u, m in data:
+            if w == v and m >= k and m not in want and want.get(k, k) == k and abs(len(t) - len(u)) <= 3:
+                want[m] = k
+    got = {r["sequence_id"]: r["leader"] for r in sharing.leader_clusters(df, ["v"], edits=3).collect()}
+    assert got == want
+
+
 # ---- clones
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vdjlake.functions import sequence as X
-from vdjlake.operators.similarity import edit_pairs
+from vdjlake.operators.similarity import block_edit_pairs
+from vdjlake.session import table
 
 #: Distinct CDR3s of a cluster that are compared with as many others in one group.
 PART = 1024
@@ -108,43 +112,44 @@ def bipartite(df: DataFrame, keys: list[str], patient: str = "patient", top: int
     return n.join(F.broadcast(lead), keys, "left_semi")
 
 
-def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id: str = "sequence_id", edits: int = 2, max_rounds: int = 200) -> DataFrame:
-    """Greedy leader clustering within a block: ``block..., <row_id>, leader``.
+def _followers(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of pairs sorted by block, b and a, the rows b that follow and the least leader a of each; only the followers of one block are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, taken = None, None, set()
+        for batch in batches:
+            out: list[tuple] = []
+            *block, a, b = (c.to_pylist() for c in batch.columns)
+            for x, y, z in zip(a, b, zip(*block) if blocks else [()] * batch.num_rows):
+                if z != at:
+                    at, last, taken = z, None, set()
+                # a is before b, so it is settled: it leads unless it follows; the first leader of b is its least
+                if x not in taken and y != last:
+                    taken.add(y)
+                    last = y
+                    out.append((y, x))
+            kind = batch.schema.field(blocks).type
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=kind) for i in range(2)], names=["node", "leads"])
+
+    return run
+
+
+def leader_clusters(df: DataFrame, block: list[str], cdr3: str = "cdr3", row_id: str = "sequence_id", edits: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """Greedy leader clustering within a block: ``block..., <row_id>, leader`` and the columns of ``keep``.
 
     In the order of row ids the first row not yet taken leads, and takes every
-    later one within ``edits`` of it. Who leads is settled in rounds of joins: a
-    row with no open smaller neighbour leads; rows next to a leader join the smallest
-    one. Only pairs within reach are ever formed. Rounds are as many as the longest chain of
-    rows that wait for each other; beyond ``max_rounds`` an error says so.
+    later one within ``edits`` of it. Only pairs within reach are ever formed; those of a
+    block are read once in the order of their later row, which settles who leads.
     """
-    from vdjlake.session import discard, table
-
     rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, cdr3, row_id]))
-    reps = rows.groupBy(*block, cdr3).agg(F.min(row_id).alias("rep"))
-    pairs = table(edit_pairs(reps, block, cdr3, "rep", edits).select("a", "b"), "pairs")
-    state = table(reps.select(F.col("rep").alias("node"), F.lit(None).cast("string").alias("leader")), "leaders")
-    for _ in range(max_rounds):
-        # a row leads once every smaller neighbour follows some other leader
-        lead = state.where("leader = node").select(F.col("node").alias("a"))
-        open_ = state.where("leader is null").select(F.col("node").alias("b"))
-        near_lead = pairs.join(lead, "a").groupBy("b").agg(F.min("a").alias("by"))
-        undecided = state.where("leader is null").select(F.col("node").alias("a"))
-        blocked = pairs.join(undecided, "a", "left_semi").join(open_, "b", "left_semi").select("b").distinct()
-        nxt = (
-            state.join(near_lead, F.col("node") == near_lead["b"], "left").drop("b")
-            .join(blocked.withColumn("waits", F.lit(True)), F.col("node") == F.col("b"), "left")
-            .select("node", F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("by").isNotNull() & F.col("waits").isNull(), F.col("by")).when(F.col("waits").isNull(), F.col("node")).alias("leader"))
-        )
-        nxt = table(nxt, "leaders")
-        discard(state)
-        state = nxt
-        if not state.where("leader is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
-    discard(pairs)
-    named = reps.join(state, F.col("rep") == F.col("node")).select(*block, cdr3, "leader")
-    return rows.select(*block, cdr3, row_id).join(named, [*block, cdr3]).select(*block, row_id, "leader")
+    reps = table(rows.groupBy(*block, cdr3).agg(F.min(row_id).alias("rep")), "reps")
+    pairs = block_edit_pairs(reps, block, cdr3, "rep", edits).select(*block, "a", "b")
+    placed = pairs.repartition(*block) if block else pairs.coalesce(1)
+    kind = dict(df.dtypes)[row_id]
+    follow = table(placed.sortWithinPartitions(*block, "b", "a").mapInArrow(_followers(len(block)), f"node {kind}, leads {kind}"), "follow")
+    named = reps.join(follow, F.col("rep") == F.col("node"), "left").select(*block, cdr3, F.coalesce("leads", "rep").alias("leader"))
+    out = list(dict.fromkeys([*block, row_id, *(keep or [])]))
+    return rows.select(*dict.fromkeys([*out, cdr3])).join(named, [*block, cdr3]).select(*out, "leader")
 
 
 def cluster_sharing(members: DataFrame, leader: str, file: str, cdr3: str, least: int = 2) -> DataFrame:

@@ -52,28 +52,37 @@ def hamming_pairs(df: DataFrame, block: list[str], text: str, key: str, limit: C
 
 
 def edit_pairs(df: DataFrame, block: list[str], text: str, key: str, edits: int) -> DataFrame:
-    """``a, b, distance``: pairs a < b of one block within ``edits`` plain edits.
+    """``a, b, distance``: pairs a < b of one block within ``edits`` plain edits."""
+    return block_edit_pairs(df, block, text, key, edits).select("a", "b", "distance")
+
+
+def block_edit_pairs(df: DataFrame, block: list[str], text: str, key: str, edits: int) -> DataFrame:
+    """``block..., a, b, distance``: pairs a < b of one block within ``edits`` plain edits.
 
     Of ``edits`` + 1 segments of the longer-or-equal text one occurs unchanged in the
-    other within ``edits`` places; the join is exact on (block, length, segment,
-    letters).
+    other, and at least one such has at most as many edits before it as segments, and
+    at most as many after it; that leaves few places for it. The join is exact on (block, length,
+    segment, letters) by one hash; what it meets is verified before repeated pairs are dropped, and
+    keys and blocks, which stay behind as hashes, are joined to the pairs that are left.
     """
     n = edits + 1
-    rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key])).select(*block, F.col(text).alias("t"), F.col(key).alias("k"), F.length(text).alias("n"))
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [*block, text, key])).select(F.xxhash64(*block, F.col(key)).alias("h"), F.xxhash64(F.lit(0), *block).alias("g"), F.col(text).alias("t"), F.length(text).alias("n"), *block, F.col(key).alias("k"))
     cut = f"cast(floor(s * n / {n}) as int)"
     size = f"cast(floor((s + 1) * n / {n}) - floor(s * n / {n}) as int)"
-    seg = rows.select(*block, F.col("t").alias("ta"), F.col("k").alias("ka"), "n", F.explode(F.expr(f"transform(sequence(0, {edits}), s -> struct(s, substring(t, {cut} + 1, {size}) as x))")).alias("seg"))
-    probe = rows.select(*block, "t", "k", F.explode(F.expr(f"filter(sequence(n - {edits}, n + {edits}), m -> m >= 0)")).alias("m")).select(
-        *block,
+    seg = rows.select(F.col("t").alias("ta"), F.col("h").alias("ha"), F.explode(F.expr(f"transform(sequence(0, {edits}), s -> xxhash64(g, n, s, substring(t, {cut} + 1, {size})))")).alias("seg"))
+    probe = rows.select("g", "t", "h", F.explode(F.expr(f"sequence(n, n + {edits})")).alias("m"), "n").withColumn("gap", F.col("n") - F.col("m")).select(
         F.col("t").alias("tb"),
-        F.col("k").alias("kb"),
-        F.col("m").alias("n"),
+        F.col("h").alias("hb"),
         F.explode(
             F.expr(
-                f"array_distinct(flatten(transform(sequence(0, {edits}), s -> transform(filter(sequence(cast(floor(s * m / {n}) as int) - {edits}, cast(floor(s * m / {n}) as int) + {edits}), p -> p >= 0),"
-                f" p -> struct(s, substring(t, p + 1, cast(floor((s + 1) * m / {n}) - floor(s * m / {n}) as int)) as x)))))"
+                f"array_distinct(flatten(transform(sequence(0, {edits}), s -> transform(filter(transform(filter(sequence(-{edits}, {edits}), o -> abs(o) <= s and abs(o - gap) <= {edits} - s),"
+                f" o -> cast(floor(s * m / {n}) as int) + o), p -> p >= 0), p -> xxhash64(g, m, s, substring(t, p + 1, cast(floor((s + 1) * m / {n}) - floor(s * m / {n}) as int)))))))"
             )
         ).alias("seg"),
     )
-    pairs = seg.join(probe, [*block, "n", "seg"]).where("ka <> kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.when(F.col("ka") < F.col("kb"), F.col("ta")).otherwise(F.col("tb")).alias("ta"), F.when(F.col("ka") < F.col("kb"), F.col("tb")).otherwise(F.col("ta")).alias("tb")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("ta", "tb", edits)).where("distance >= 0").select("a", "b", "distance")
+    met = seg.join(probe, "seg").where("ha <> hb").withColumn("distance", F.levenshtein("ta", "tb", edits)).where("distance >= 0")
+    pairs = met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), "distance").distinct()
+    names = rows.groupBy("h").agg(*[F.first(c).alias(c) for c in [*block, "k"]])
+    one, two = (names.select(F.col("h").alias(f"h{x}"), F.col("k").alias(f"k{x}"), *[F.col(c).alias(f"{c}_{x}") for c in block]) for x in "ab")
+    whole = pairs.join(one, "ha").join(two, "hb").where(F.lit(True) if not block else " and ".join(f"`{c}_a` = `{c}_b`" for c in block)).where("ka <> kb")
+    return whole.select(*[F.col(f"{c}_a").alias(c) for c in block], F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "distance")
