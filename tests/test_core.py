@@ -366,6 +366,39 @@ def test_trees(spark):
     assert trees.clone_trees(df, ["clone"], "seq", "id", max_tips=2).first()["newick"] is None
 
 
+def test_trees_of_many_tips_without_their_matrix(spark, monkeypatch):
+    """Joining by features gives the tree of the distance matrix, gaps and N included, and large clones never make a matrix."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ACGT"), rng.choice([997, 1000]))) for _ in range(25)]
+    texts = [t[:k] + ("N" if k % 5 == 0 else "-") * 7 + t[k + 7 :] if k % 3 == 0 else t for k, t in enumerate(texts)]
+
+    def splits(edges):
+        near: dict = {}
+        for a, b, _ in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        out = {}
+        for a, b, w in edges:
+            seen, todo = {a, b}, [b]
+            while todo:
+                new = near[todo.pop()] - seen
+                seen |= new
+                todo += new
+            side = frozenset(k for k in seen - {a} if k < len(texts))
+            out[side if 0 not in side else frozenset(range(len(texts))) - side] = w
+        return out
+
+    d = trees.p_distances(texts)
+    x, z = trees._features(texts)
+    off = ~np.eye(len(texts), dtype=bool)
+    assert np.allclose(-(x @ z.T)[off], d[off])
+    want, got = splits(trees.neighbour_joining(d)), splits(trees.profile_joining(x, z))
+    assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+    many = sorted({"".join(rng.choice(list("ACGT"), 20)) for _ in range(400)})
+    monkeypatch.setattr(trees, "p_distances", lambda texts: 1 / 0)
+    assert len(trees.joined(many)) == 2 * len(many) - 3
+
+
 def test_embedding_clusters(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 8))
