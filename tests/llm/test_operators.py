@@ -1,6 +1,8 @@
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,6 +409,30 @@ def test_long_pairs_against_all_pairs(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
+def test_long_texts_of_one_germline_are_told_apart_by_their_rare_tiles(monkeypatch):
+    """Texts that share all but some letters in the middle are compared by their rare tiles, not once for every tile they share; all that agree are found."""
+    rng = random.Random(31)
+    draw = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    v, j = draw(96), draw(11)
+
+    def chain(middle):
+        t = list(v + middle + j)
+        for k in rng.sample(range(len(t)), rng.randint(0, 3)):
+            t[k] = rng.choice("ACDEFGHIKLMNPQRSTVWY")
+        return "".join(t)[rng.randint(0, 9) : len(t) - rng.randint(0, 5)]
+
+    middles = [draw(15) for _ in range(300)]
+    left, right = [chain(m) for m in middles], [chain(m) for m in rng.sample(middles, 100) + [draw(15) for _ in range(200)]]
+    compared = []
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda d: compared.append(len(d)) or count(d))
+    texts = types.SimpleNamespace(value=pa.table({"rh": list(range(len(right))), "rl": right}))
+    out = entity_match._compared(texts)(iter([pa.RecordBatch.from_pydict({"lh": list(range(len(left))), "ll": left})]))
+    got = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(got) == len(set(got)) and set(got) == {(i, k) for i, a in enumerate(left) for k, b in enumerate(right) if entity_match.long_agree(a, b)} and len(got) >= 90
+    assert sum(compared) < 3 * len(left) * len(right)
+
+
 def test_tables_above_the_bound_are_not_broadcast(spark):
     """The driver holds several such tables at a time, so a marked one has few rows."""
     hinted = lambda n: "ResolvedHint" in entity_match._small(spark.range(n), "bound")._jdf.queryExecution().analyzed().toString()
